@@ -1,4 +1,4 @@
 """Named queries with their check SQL."""
 
-from barlake.catalog import bars
+from barlake.catalog import bars, quality, trading
 from barlake.catalog.base import ORACLES, QUERIES

@@ -22,7 +22,7 @@ def _columns(spec: str) -> list[tuple[str, str]]:
 
 
 def finish(df: DataFrame, spec: str) -> DataFrame:
-    """Project `name[:kind]`: digits round, `i` is a bigint, `t` a timestamp, `d` a date, none is kept."""
+    """Project `name[:kind]`: digits round, `eN` keeps N decimals of the mantissa, `i` is a bigint, `t` a timestamp, `d` a date, none is kept."""
     types = dict(df.dtypes)
     out = []
     for name, kind in _columns(spec):
@@ -30,6 +30,9 @@ def finish(df: DataFrame, spec: str) -> DataFrame:
         if kind.isdigit():
             scale = F.lit(float(10 ** int(kind)))
             c = F.floor(c * scale + F.lit(OFFSET)) / scale
+        elif kind[:1] == "e":
+            c = F.format_string(f"%.{kind[1:]}e", c).cast("double")
+            c = F.when(F.col(f"`{name}`").isNotNull(), c)
         elif kind == "i":
             c = c.cast("long")
         elif kind == "t" or types[name].startswith("timestamp"):
@@ -45,6 +48,8 @@ def finish_sql(sql: str, spec: str, views: str = "") -> str:
         if kind.isdigit():
             scale = f"CAST({10 ** int(kind)} AS DOUBLE)"
             c = f"floor({c} * {scale} + CAST({OFFSET} AS DOUBLE)) / {scale}"
+        elif kind[:1] == "e":
+            c = f"CAST(printf('%.{kind[1:]}e', CAST({c} AS DOUBLE)) AS DOUBLE)"
         elif kind == "i":
             c = f"CAST({c} AS BIGINT)"
         elif kind == "t":
