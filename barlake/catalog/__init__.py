@@ -1,4 +1,4 @@
 """Named queries with their check SQL."""
 
-from barlake.catalog import bars, news, quality, trading
+from barlake.catalog import bars, market, news, quality, trading
 from barlake.catalog.base import ORACLES, QUERIES

@@ -186,7 +186,7 @@ query(
     f"""SELECT doc_id, CASE {_KNOWN} WHEN x <> '' AND x NOT IN ('RSI', 'MACD', 'SMA', 'EMA', 'LSTM', 'MA') THEN x
         ELSE 'AAPL' END AS symbol FROM (SELECT doc_id, u,
         regexp_extract(u, '(^|[^\\p{{L}}\\p{{N}}_])([A-Z]{{1,5}})($|[^\\p{{L}}\\p{{N}}_])', 2) AS x
-        FROM (SELECT doc_id, replace(upper(text), 'ß', 'SS') AS u FROM documents))""",
+        FROM (SELECT doc_id, replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') AS u FROM documents))""",
 )(lambda t: t.table("documents").select("doc_id", tx.extract_symbol("text").alias("symbol")))
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)

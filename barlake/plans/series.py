@@ -65,10 +65,11 @@ class Blocks:
 
     df: DataFrame
     keys: tuple[str, ...] = KEYS
+    order: tuple[str, ...] = (SUB, POS)
 
     @property
     def w(self) -> Window:
-        return Window.partitionBy(*self.keys, BLOCK).orderBy(SUB, POS)
+        return Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order)
 
     @property
     def sub(self) -> Window:
