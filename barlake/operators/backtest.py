@@ -1,8 +1,8 @@
 """Long-only backtests of all symbols as running aggregates, with no row loop.
 
 All-in, all-out trading has one bit of state: the sign of the last order. Entries and exits are
-its changes, and capital is the running product of fill ratios, so a backtest is three `scan`s
-over blocks of bars.
+its changes, and capital is the running product of fill ratios. Each block of bars is evaluated once
+for both states it may start in; one summary row per block then tells which case holds.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.operators.indicators import add_rsi, halo, IndicatorConfig
-from barlake.plans.series import HELPERS, KEYS, POS, TOTAL, Blocks, scan, series
+from barlake.plans.series import BLOCK, KEYS, POS, TOTAL, Blocks, scan, series
 
 
 @dataclass(frozen=True)
@@ -87,6 +87,66 @@ def execution(bars: DataFrame, name: str, params: Mapping | None = None, keys: S
     return b.df.select(*bars.columns, F.col("_raw").alias("exec_signal"))
 
 
+def _with_both_states(b: Blocks, fee: float, slippage: float) -> Blocks:
+    """Running trade state inside each block, for a flat (suffix 0) and a long (suffix 1) start.
+
+    Only the first order of a block depends on the state it starts in, so both cases cost one pass.
+    """
+    price = F.coalesce("open", "close")
+    b = b.add(
+        {
+            "_price": price,
+            "_in": price * (1 + slippage),
+            "_out": price * (1 - slippage),
+            "_last": F.last("_order", True).over(b.running()),
+            "_prior": F.last("_order", True).over(b.running(-1)),
+        }
+    )
+    for case, start in (("0", False), ("1", True)):
+        long, was = (F.coalesce(F.col(c) > 0, F.lit(start)) for c in ("_last", "_prior"))
+        b = b.add({f"_long{case}": long, f"_was{case}": was})
+        enter, leave = (F.col(f"_{x}{case}") & ~F.col(f"_{y}{case}") for x, y in (("long", "was"), ("was", "long")))
+        b = b.add({f"_enter{case}": enter, f"_leave{case}": leave})
+        enter, leave = F.col(f"_enter{case}"), F.col(f"_leave{case}")
+        factor = F.when(enter, 1.0 / ((1 + fee) * F.col("_in"))).when(leave, F.col("_out") * (1 - fee)).otherwise(1.0)
+        opened = F.when(enter, F.struct(F.col("timestamp").alias("at"), F.col("_in").alias("price")))
+        b = b.add({f"_factor{case}": factor, f"_open{case}": opened})
+        b = b.add(
+            {
+                f"_growth{case}": F.product(f"_factor{case}").over(b.running()),
+                f"_grown{case}": F.coalesce(F.product(f"_factor{case}").over(b.running(-1)), F.lit(1.0)),
+                f"_count{case}": F.count_if(enter).over(b.running()),
+                f"_opened{case}": F.last(f"_open{case}", True).over(b.running()),
+            }
+        )
+        worth = F.col(f"_growth{case}") * F.when(F.col(f"_long{case}"), F.col("close")).otherwise(F.lit(1.0))
+        b = b.add({f"_worth{case}": worth})
+        b = b.add({f"_peak{case}": F.max(f"_worth{case}").over(b.running())})
+    return b
+
+
+def _carries(b: Blocks) -> DataFrame:
+    """State, growth, trades, open entry and peak that every block starts with: one short row per block."""
+    kept = ["_last", *[f"{c}{case}" for case in "01" for c in ("_growth", "_count", "_opened", "_peak")]]
+    ends = b.df.groupBy(*b.keys, BLOCK).agg(F.max_by(F.struct(*kept), POS).alias("e")).select(*b.keys, BLOCK, "e.*")
+    earlier = Window.partitionBy(*b.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last("_last", True).over(earlier) > 0, F.lit(False))
+    ends = ends.withColumn("_held", held)
+    pick = lambda c: F.when(F.col("_held"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    ends = ends.withColumns({c: pick(c) for c in ("_growth", "_count", "_opened", "_peak")})
+    ends = ends.withColumns(
+        {
+            "_growth_in": F.coalesce(F.product("_growth").over(earlier), F.lit(1.0)),
+            "_count_in": F.coalesce(F.sum("_count").over(earlier), F.lit(0)),
+            "_opened_in": F.last("_opened", True).over(earlier),
+        }
+    )
+    peak = F.max(F.col("_growth_in") * F.col("_peak")).over(earlier)
+    return ends.withColumn("_peak_in", peak).select(
+        *b.keys, BLOCK, "_held", "_growth_in", "_count_in", "_opened_in", "_peak_in"
+    )
+
+
 def backtest(
     bars: DataFrame,
     name: str,
@@ -108,42 +168,36 @@ def backtest(
     bars = bars.select(*keys, "timestamp", "open", "close")
     b = rule.raw(series(bars, before=rule.lookback(params) + 1, keys=keys, **cut), params)
     b = b.add({"_order": b.lag(_nonzero("_raw")), "_prev_close": b.lag("close")}).core()
-    b = Blocks(b.df.select(*keys, "timestamp", "open", "close", "_order", "_prev_close", *HELPERS[:-1]), b.keys)
     # Repeated orders do not change the state, so crossings need no separate pass here.
-    b = scan(b, {"_state": ("last", F.col("_order"))}, {"_before": "_state"})
-    long, was = (F.coalesce(F.col(c) > 0, F.lit(False)) for c in ("_state", "_before"))
-    price = F.coalesce("open", "close")
-    b = b.add({"long": long, "_was": was, "_price": price})
-    entry, leave = F.col("long") & ~F.col("_was"), ~F.col("long") & F.col("_was")
-    b = b.add({"_enter": entry, "_leave": leave, "_in": price * (1 + slippage), "_out": price * (1 - slippage)})
-    factor = F.when(F.col("_enter"), 1.0 / ((1 + transaction_fee) * F.col("_in"))).when(
-        F.col("_leave"), F.col("_out") * (1 - transaction_fee)
-    )
-    opened = F.when(F.col("_enter"), F.struct(F.col("timestamp").alias("at"), F.col("_in").alias("price")))
-    b = scan(
-        b,
+    b = _with_both_states(b, transaction_fee, slippage)
+    rows = b.df.join(_carries(b), [*keys, BLOCK])
+    pick = lambda c: F.when(F.col("_held"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    rows = rows.withColumns({c: pick(c) for c in ("_long", "_was", "_enter", "_leave", "_growth", "_grown", "_count", "_opened", "_peak")})
+    rows = rows.withColumns(
         {
-            "_growth": ("product", factor),
-            "trade_id": ("sum", F.col("_enter").cast("long")),
-            "_opened": ("last", opened),
-        },
-        {"_growth_before": "_growth"},
+            "long": F.col("_long"),
+            "trade_id": F.col("_count") + F.col("_count_in"),
+            "_opened": F.coalesce("_opened", "_opened_in"),
+            "_growth": F.col("_growth") * F.col("_growth_in"),
+            "_growth_before": F.col("_grown") * F.col("_growth_in"),
+            "_peak": F.greatest(F.col("_peak") * F.col("_growth_in"), F.col("_peak_in")),
+        }
     )
     capital = F.lit(float(initial_capital))
     worth = lambda growth, held, close: capital * growth * F.when(held, close).otherwise(F.lit(1.0))
-    b = b.add(
+    rows = rows.withColumns(
         {
             "equity": worth(F.col("_growth"), F.col("long"), F.col("close")),
             "_equity_before": worth(F.col("_growth_before"), F.col("_was"), F.col("_prev_close")),
+            "_peak": capital * F.col("_peak"),
         }
     )
-    b = scan(b, {"_peak": ("max", F.col("equity"))})
     last_open = (F.col(POS) == F.col(TOTAL) - 1) & F.col("long")
     exit_price = F.when(last_open, F.col("close") * (1 - slippage)).otherwise(F.col("_out"))
     quantity = capital * F.when(last_open, F.col("_growth")).otherwise(F.col("_growth_before"))
     spent = F.col("quantity") * F.col("_opened.price")
     net = F.col("quantity") * F.col("exit_price") * (1 - transaction_fee)
-    rows = b.df.withColumns({"quantity": quantity, "exit_price": exit_price})
+    rows = rows.withColumns({"quantity": quantity, "exit_price": exit_price})
     trade = F.struct(
         "trade_id",
         F.col("_opened.at").alias("entry_time"),

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.operators.features import add_target_features
-from barlake.plans.series import HELPERS, POS, TOTAL, day_counts, number_rows, series, tail_n
+from barlake.plans.materialize import materialize
+from barlake.plans.series import HELPERS, POS, TOTAL, number_rows, series, tail_n
 from barlake.schemas import FORECAST_FEATURES
 
 # Columns that are linear combinations of others (macd = ema_12 - ema_26,
@@ -198,7 +199,8 @@ def train_linear(gold: DataFrame, features: Sequence[str] = FORECAST_FEATURES) -
     Returns `coefficients`, `stats`, `predictions` (test rows) and `runs` (one record per symbol).
     """
     used = independent(features)
-    rows = chronological_split(supervised(gold, features))
+    # Statistics, Gram matrix, ranges and scores all read the split rows.
+    rows = materialize(chronological_split(supervised(gold, features)), "supervised")
     stats, coefficients = ols_fit(rows, used)
     scored = ols_predict(rows.filter(F.col("split") == "test"), stats, coefficients, used)
     predictions = scored.select(
@@ -225,81 +227,137 @@ def predict_linear(
 
 # --- autoregression ------------------------------------------------------------------------------
 
+PATH_STEPS = 1024
+
 
 def ar_frame(bars: DataFrame, lags: int = 5, differences: int = 1, column: str = "close", **cut) -> DataFrame:
-    """Differenced series `y` with its lags `y1 … yp` and the previous levels."""
+    """Differenced series `y`, its lags `y1 … yp`, and the level of each difference order before it."""
     b = series(bars.select("symbol", "timestamp", column), before=lags + differences + 1, **cut)
     b = b.add({"y": F.col(column)})
     for d in range(differences):
-        b = b.add({f"level{d}": b.lag("y"), "y": F.col("y") - b.lag("y")})
+        b = b.add({f"before{d}": b.lag("y"), "y": F.col("y") - b.lag("y")})
     b = b.add({f"y{i}": b.lag("y", i) for i in range(1, lags + 1)})
     return b.core().df.drop(*[h for h in HELPERS if h not in (POS, TOTAL)])
 
 
-def ar_fit(frame: DataFrame, lags: int, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+def _lag_names(lags: int) -> list[str]:
+    return [f"y{i}" for i in range(1, lags + 1)]
+
+
+def ar_fit(frame: DataFrame, lags: int = 5) -> DataFrame:
     """Conditional least squares of y on its lags over the train rows, without a constant."""
-    names = [f"y{i}" for i in range(1, lags + 1)]
-    rows = chronological_split(frame, train, validation, 1 - train - validation)
-    rows = rows.filter(F.col("split") == "train").dropna(subset=[*names, "y"])
+    names = _lag_names(lags)
+    rows = chronological_split(frame).filter(F.col("split") == "train").dropna(subset=[*names, "y"])
     return solve(gram(rows, names, "y"), lags, intercept=False)
 
 
-def ar_fitted(frame: DataFrame, coefficients: DataFrame, lags: int) -> DataFrame:
-    """Fitted level of every train row (one step ahead)."""
-    names = [f"y{i}" for i in range(1, lags + 1)]
+def ar_fitted(frame: DataFrame, coefficients: DataFrame, lags: int = 5) -> DataFrame:
+    """One-step fitted value of every train row that has its lags."""
     rows = chronological_split(frame).filter(F.col("split") == "train").join(coefficients, "symbol")
-    level = sum((F.col(c) for c in frame.columns if c.startswith("level")), F.lit(0.0))
-    return rows.withColumn("fitted", level + dot("weights", names)).dropna(subset=["fitted"])
+    step = dot("weights", _lag_names(lags))
+    for c in [c for c in frame.columns if c.startswith("before")]:
+        step = step + F.col(c)
+    return rows.withColumn("fitted", step).dropna(subset=["fitted"])
 
 
-def ar_forecast(frame: DataFrame, coefficients: DataFrame, lags: int, horizon: int, differences: int = 1,
-                column: str = "close", upto: str | None = "train") -> DataFrame:
-    """Forecasts 1 … `horizon` steps after the last row of `upto` (None: of the series).
+def ar_path(frame: DataFrame, coefficients: DataFrame, horizon: int | None = None, lags: int = 5,
+            differences: int = 1, column: str = "close") -> DataFrame:
+    """Forecasts (symbol, step, predicted) after the train rows.
 
-    Each symbol's state is its last `lags` differences and levels, so the recursion runs on one
-    short row per symbol.
+    With `horizon` None the path covers the validation and test rows' count of test rows, as an
+    evaluation needs; else 1 … horizon. The state of a symbol is its last differences and levels. A
+    long path is cut into pieces of `PATH_STEPS` steps: powers of the transition matrix jump to the
+    start of each piece, so the pieces are independent short tasks.
     """
     rows = chronological_split(frame)
-    last = F.max(F.col(POS)).alias("_last")
-    if upto:
-        rows = rows.filter(F.col("split") == upto)
-    state_cols = ["timestamp", column, "y", *[f"y{i}" for i in range(1, lags)], *[f"level{d}" for d in range(differences)]]
-    state = rows.groupBy("symbol").agg(
-        *[F.max_by(c, POS).alias(c) for c in state_cols], last
-    ).join(coefficients.select("symbol", "weights"), "symbol")
-    recent = F.array(F.col("y"), *[F.col(f"y{i}") for i in range(1, lags)])
-    # Levels of order 0 … d-1 at the last row: order 0 is the close itself.
-    levels = [F.col(column)] + [F.lit(0.0)] * 0
-    if differences > 1:
-        levels += [F.col(f"level{d}") for d in range(1, differences)]
-    zero = F.struct(recent.alias("y"), F.array(*levels).alias("levels"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, _):
-        nxt = F.aggregate(
-            F.zip_with(F.col("weights"), acc["y"], lambda w, y: w * y), F.lit(0.0), lambda a, x: a + x
-        )
-        level = acc["levels"][0] + nxt
-        return F.struct(
-            F.slice(F.concat(F.array(nxt), acc["y"]), 1, lags).alias("y"),
-            F.array(level).alias("levels"),
-            F.concat(acc["out"], F.array(level)).alias("out"),
-        )
-
-    if differences != 1:
-        raise ValueError("forecasts are built for one difference")
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), zero, step)["out"]
-    points = state.select("symbol", "timestamp", "_last", F.posexplode(path).alias("step", "predicted"))
-    return points.withColumn("step", F.col("step") + 1)
-
-
-def ar_evaluate(frame: DataFrame, coefficients: DataFrame, lags: int, column: str = "close") -> DataFrame:
-    """Multi-step forecast over the whole test split against the actual closes.
-
-    The forecast of step h follows from the state at the end of the train rows, so the path is
-    as long as the test split of the symbol.
-    """
+    levels = [f"level{d}" for d in range(differences)]
+    # level{d} is the d-times differenced series at the row: before{d} plus the next difference.
+    at_row = F.col("y")
+    exact = {}
+    for d in reversed(range(differences)):
+        at_row = at_row + F.col(f"before{d}")
+        exact[f"level{d}"] = at_row
+    train = rows.withColumns(exact).filter(F.col("split") == "train")
+    recent = ["y", *_lag_names(lags)[:-1]]
+    state = train.groupBy("symbol").agg(
+        F.max_by(F.array(*recent, *levels), POS).alias("state"), F.max(TOTAL).alias("_n")
+    )
+    if horizon is None:
+        n = F.col("_n")
+        train_end = F.floor(n * F.lit(0.7))
+        steps = n - (train_end + F.floor(n * F.lit(0.15)))
+    else:
+        steps = F.lit(horizon).cast("long")
+    pieces = (
+        state.withColumn("steps", steps)
+        .join(coefficients.select("symbol", "weights"), "symbol")
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / PATH_STEPS))))
+        .select("symbol", "state", "weights", "steps", "piece")
+        .repartition("symbol", "piece")
+    )
+
+    def walk(batches):
+        for batch in batches:
+            out = []
+            for symbol, s, w, total, piece in batch.itertuples(index=False):
+                p = len(w)
+                move = np.zeros((len(s), len(s)))
+                move[0, :p] = w
+                move[1:p, : p - 1] = np.eye(p - 1)
+                for d in range(differences):
+                    # A level moves by the next value of the level above it.
+                    move[p + d, :p] = w
+                    for e in range(d, differences):
+                        move[p + d, p + e] = 1.0
+                now = np.linalg.matrix_power(move, int(piece) * PATH_STEPS) @ np.asarray(s, dtype=float)
+                last = min(int(total), (int(piece) + 1) * PATH_STEPS)
+                for step in range(int(piece) * PATH_STEPS + 1, last + 1):
+                    now = move @ now
+                    out.append((symbol, step, float(now[p] if differences else now[0])))
+            yield pd.DataFrame(out, columns=["symbol", "step", "predicted"])
+
+    return pieces.mapInPandas(walk, "symbol string, step long, predicted double")
+
+
+def ar_predictions(frame: DataFrame, coefficients: DataFrame, lags: int = 5, differences: int = 1,
+                   column: str = "close") -> DataFrame:
+    """Test rows with the multi-step forecast of their step and the previous actual value."""
     rows = chronological_split(frame)
-    return rows, coefficients, lags, column
+    n = F.col(TOTAL)
+    first = F.floor(n * F.lit(0.7)) + F.floor(n * F.lit(0.15))
+    test = rows.filter(F.col("split") == "test").withColumn("step", F.col(POS) - first + 1)
+    last_train = rows.filter(F.col("split") == "train").groupBy("symbol").agg(F.max_by(column, POS).alias("_last"))
+    # The first test row is compared with the last train value, every other one with the row before.
+    previous = F.when(F.col("step") == 1, F.col("_last")).otherwise(_level_before(differences))
+    path = ar_path(frame, coefficients, None, lags, differences, column)
+    return (
+        test.join(path, ["symbol", "step"])
+        .join(last_train, "symbol")
+        .select("symbol", "timestamp", "step", F.col(column).alias("actual"), "predicted", previous.alias("previous"))
+    )
+
+
+def _level_before(differences: int) -> Column:
+    return F.col("before0") if differences else F.lit(None).cast("double")
+
+
+def train_ar(bars: DataFrame, lags: int = 5, differences: int = 1, **cut) -> dict[str, DataFrame]:
+    """Fit, score and evaluate the autoregression of every symbol; `runs` has one record per symbol."""
+    frame = materialize(ar_frame(bars, lags, differences, **cut), "ar")
+    coefficients = ar_fit(frame, lags)
+    predictions = ar_predictions(frame, coefficients, lags, differences)
+    runs = (
+        forecast_metrics(predictions)
+        .join(split_ranges(chronological_split(frame)), "symbol")
+        .withColumns({"model_name": F.lit("arima"), "features": F.array(F.lit("close"))})
+    )
+    return {"frame": frame, "coefficients": coefficients, "predictions": predictions, "runs": runs}
+
+
+def predict_ar(bars: DataFrame, coefficients: DataFrame, horizon: int = 5, lags: int = 5, differences: int = 1) -> DataFrame:
+    """Forecasts after the train rows placed on the times that follow the last bar."""
+    path = ar_path(ar_frame(bars, lags, differences), coefficients, horizon, lags, differences)
+    return path.join(future_times(bars, horizon), ["symbol", "step"])
 
 
 def future_times(bars: DataFrame, horizon: int) -> DataFrame:

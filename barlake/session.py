@@ -28,4 +28,4 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """Folder shared by all executors, as the cluster names it; `fallback` only when it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or fallback
