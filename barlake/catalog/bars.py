@@ -11,7 +11,8 @@ from barlake.operators import features, indicators
 from barlake.operators.indicators import IndicatorConfig
 from barlake.operators.resample import resample, ticks_to_bars
 from barlake.plans.gold import gold
-from barlake.plans.series import POS, number_rows, series
+from barlake.plans.series import series
+from barlake.plans.views import NEEDS, SQL
 
 _RESAMPLE = "symbol interval timestamp:t open:4 high:4 low:4 close:4 volume:i"
 
@@ -224,13 +225,7 @@ def o_gld(t):
     return gold(t.f1)
 
 
-_LAST = "SELECT * FROM f1ind WHERE rn = n - 1"
-
-
-@query(
-    "f_desc",
-    "symbol timestamp:t trend momentum volatility",
-    f"""SELECT symbol, timestamp, CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN 'insufficient data'
+SQL["described"] = """SELECT *, CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN 'insufficient data'
        WHEN close > sma_20 AND sma_20 > sma_50 THEN 'Price is above SMA20 and SMA20 is above SMA50 (uptrend structure).'
        WHEN close < sma_20 AND sma_20 < sma_50 THEN 'Price is below SMA20 and SMA20 is below SMA50 (downtrend structure).'
        ELSE 'Moving averages are mixed; no dominant trend structure.' END AS trend,
@@ -242,9 +237,11 @@ _LAST = "SELECT * FROM f1ind WHERE rn = n - 1"
        WHEN close > bb_upper THEN 'Close is above the upper Bollinger Band (expanded deviation).'
        WHEN close < bb_lower THEN 'Close is below the lower Bollinger Band (expanded deviation).'
        ELSE printf('Close is inside the Bollinger Band. Band width is %.2f.', bb_upper - bb_lower) END AS volatility
-       FROM f1ind""",
-    "f1ind",
-)
+       FROM f1ind"""
+NEEDS["described"] = [*NEEDS["f1ind"], "f1ind"]
+
+
+@query("f_desc", "symbol timestamp:t trend momentum volatility", "SELECT * FROM described", "described")
 def f_desc(t):
     rows = indicators.indicators(t.f1, families=["sma", "rsi", "bollinger"])
     return rows.withColumns(indicators.describe())
@@ -290,3 +287,19 @@ def w_seq(t):
         F.size("sequence").alias("length"),
         F.col("target_close_next").alias("target"),
     )
+
+
+@query(
+    "q_dash",
+    "symbol timestamp:t current_price:4 change_pct:6 volume:2 rsi:6 trend momentum volatility bronze_count:i silver_count:i gold_count:i",
+    """SELECT symbol, timestamp, close AS current_price, (close - p) / p AS change_pct, volume, rsi_14 AS rsi, trend, momentum,
+       volatility, n AS bronze_count, n AS silver_count, n AS gold_count FROM (SELECT *, lag(close) OVER
+       (PARTITION BY symbol ORDER BY timestamp) AS p FROM described) WHERE rn = n - 1""",
+    "described",
+)
+def q_dash(t):
+    from barlake.plans.dashboard import overview
+    from barlake.sources.tables import layer_counts
+
+    rows = indicators.indicators(t.f1, families=["sma", "rsi", "bollinger"])
+    return overview(rows, layer_counts({"bronze": t.f1, "silver": t.f1, "gold": t.f1}))

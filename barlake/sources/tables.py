@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlake.operators.quality import KEY, conform, keep_last
+from barlake.operators.quality import conform, keep_last
 from barlake.operators.select import in_range, of_symbol
-from barlake.schemas import BAR_COLUMNS
 
 PARTITION = ("symbol", "year", "month")
+LOG_PARTITION = (*PARTITION, "batch_seq")
 
 
 # --- frame level -----------------------------------------------------------------------------------
@@ -130,13 +130,13 @@ class Lake:
         Rerunning a batch overwrites its own log partition, so a retry adds nothing twice.
         """
         rows = conform(bars).withColumn("ingestion_time", F.coalesce("ingestion_time", F.current_timestamp()))
-        rows = rows.withColumn("batch_seq", F.lit(batch_seq).cast("long"))
-        self.overwrite_partitions("bronze_log", with_partition(rows), ("batch_seq",))
-        landed = self.read("bronze_log").filter(F.col("batch_seq") == batch_seq).withColumn("batch_seq", F.col("batch_seq").cast("long"))
-        touched = landed.select(*PARTITION).distinct()
-        # The log is the source of the current view, so the partitions rewritten are never read.
-        arrivals = self.read("bronze_log").join(touched, list(PARTITION), "left_semi")
-        self.overwrite_partitions("bronze", keep_last(arrivals.withColumn("batch_seq", F.col("batch_seq").cast("long"))))
+        self.overwrite_partitions("bronze_log", with_partition(rows).withColumn("batch_seq", F.lit(batch_seq)), LOG_PARTITION)
+        log = self.read("bronze_log")
+        landed = log.filter(F.col("batch_seq") == batch_seq)
+        # The log is the source of the current view, so no partition is read while it is rewritten;
+        # the semi join on partition columns reads the touched months only.
+        arrivals = log.join(landed.select(*PARTITION).distinct(), list(PARTITION), "left_semi")
+        self.overwrite_partitions("bronze", keep_last(arrivals))
         note = {"layer": "bronze", "batch_seq": str(batch_seq), **(lineage or {})}
         self.log("lineage", landed.groupBy("symbol").agg(F.count(F.lit(1)).alias("records_received")).withColumn(
             "lineage", F.to_json(F.create_map(*[F.lit(x) for kv in note.items() for x in kv]))
@@ -175,8 +175,7 @@ class Lake:
 
     def rollback(self, snapshot_id: int) -> None:
         """Make an older batch current: the view is rebuilt from the arrival log."""
-        log = self.read("bronze_log").withColumn("batch_seq", F.col("batch_seq").cast("long"))
-        old = as_of_snapshot(log, snapshot_id)
+        old = as_of_snapshot(self.read("bronze_log"), snapshot_id)
         out = old.repartition(*PARTITION).sortWithinPartitions(*PARTITION, "timestamp")
         out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PARTITION).parquet(self.path("bronze"))
 
