@@ -37,6 +37,4 @@ def read_bar_files(
 
 def export_csv(bars: DataFrame, path: str) -> None:
     """Time-ordered CSV of the seven bar columns, one folder per symbol."""
-    bars.select("symbol", *CSV_COLUMNS).repartitionByRange("symbol", "timestamp").sortWithinPartitions(
-        "symbol", "timestamp"
-    ).write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)
+    bars.select("symbol", *CSV_COLUMNS).hint("rebalance", "symbol").sortWithinPartitions("symbol", "timestamp").write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)

@@ -95,8 +95,7 @@ class Lake:
     def read(self, layer: str, symbol: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
         """Rows of a layer; symbol and time range become partition filters."""
         df = self.spark.read.option("basePath", self.path(layer)).parquet(self.path(layer))
-        if symbol is not None:
-            df = of_symbol(df, symbol)
+        df = df if symbol is None else of_symbol(df, symbol)
         ym = F.col("year") * 12 + F.col("month") if {"year", "month"} <= set(df.columns) else None
         for bound, op in ((start, "ge"), (end, "le")):
             if bound is not None and ym is not None:
@@ -108,19 +107,16 @@ class Lake:
     def append(self, layer: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
         df.write.mode("append").partitionBy(*partition_by).parquet(self.path(layer))
 
-    def overwrite_partitions(self, layer: str, df: DataFrame, partition_by: Sequence[str] = PARTITION, salt: int = 1) -> None:
-        """Replace only the partitions present in the frame.
+    def overwrite_partitions(self, layer: str, df: DataFrame, partition_by: Sequence[str] = PARTITION) -> None:
+        """Replace only the partitions present in the frame."""
+        self._sized(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            *partition_by
+        ).parquet(self.path(layer))
 
-        Rows of one partition are spread over `salt` tasks, so a large symbol-month is not one file
-        written by one task.
-        """
-        keys = [F.col(c) for c in partition_by]
-        if salt > 1:
-            keys.append(F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-        out = df.repartition(*keys).sortWithinPartitions(*partition_by, "timestamp")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(
-            self.path(layer)
-        )
+    @staticmethod
+    def _sized(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+        """Rows grouped by target partition; adaptive execution splits large groups over several tasks."""
+        return df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, "timestamp")
 
     # Bronze ----------------------------------------------------------------------------------------
 
@@ -163,21 +159,16 @@ class Lake:
         The rewrite goes to `staging` first and is then copied back per partition, so the source is
         never read while it is replaced.
         """
-        df = self.read(layer)
-        keys = [c for c in PARTITION if c in df.columns]
-        sized = df.repartitionByRange(*keys, "timestamp").sortWithinPartitions(*keys, "timestamp")
-        sized.write.mode("overwrite").option("maxRecordsPerFile", target_rows).partitionBy(*keys).parquet(self.path(staging))
-        self.spark.read.option("basePath", self.path(staging)).parquet(self.path(staging)).repartitionByRange(
-            *keys, "timestamp"
-        ).sortWithinPartitions(*keys, "timestamp").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).option("maxRecordsPerFile", target_rows).partitionBy(*keys).parquet(self.path(layer))
+        keys = [c for c in PARTITION if c in self.read(layer).columns]
+        for source, target in ((layer, staging), (staging, layer)):
+            self._sized(self.read(source), keys).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).option("maxRecordsPerFile", target_rows).partitionBy(*keys).parquet(self.path(target))
 
     def rollback(self, snapshot_id: int) -> None:
         """Make an older batch current: the view is rebuilt from the arrival log."""
         old = as_of_snapshot(self.read("bronze_log"), snapshot_id)
-        out = old.repartition(*PARTITION).sortWithinPartitions(*PARTITION, "timestamp")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PARTITION).parquet(self.path("bronze"))
+        self._sized(old, PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PARTITION).parquet(self.path("bronze"))
 
     def files(self, layer: str) -> DataFrame:
         """File inventory (path, size, time); file contents are not read."""
