@@ -15,13 +15,15 @@ def once(bars: DataFrame, delay: str = "1 hour") -> DataFrame:
     return bars.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["symbol", "timestamp"])
 
 
-def tumble(bars: DataFrame, width: str, delay: str = "1 hour") -> DataFrame:
+def tumble(bars: DataFrame, width: str, delay: str = "1 hour", repeats: bool = False) -> DataFrame:
     """Bars of one width from a stream; a bucket is emitted once the watermark has passed it.
 
+    With `repeats` the stream may deliver a bar more than once and copies are dropped first.
+
     Partial aggregates are combined per task before the shuffle, so a busy symbol sends one row per
     bucket and task.
     """
-    timed = bars.withWatermark("timestamp", delay)
+    timed = once(bars, delay) if repeats else bars.withWatermark("timestamp", delay)
     return (
         timed.groupBy("symbol", F.window("timestamp", width).alias("w"))
         .agg(*bar_aggregates(F.col("timestamp")))
