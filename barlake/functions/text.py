@@ -137,6 +137,9 @@ def sentiment_hits(words: str, lexicon: Lexicon) -> Column:
     three words and is cut at the end of the text.
     """
     w = F.col(words)
+    entries = lexicon.strong_positive | lexicon.positive | lexicon.strong_negative | lexicon.negative
+    # Phrases are built only where a word starts an entry.
+    starts = {e.split()[0] for e in entries}
 
     def at(word: Column, i: Column) -> Column:
         three = F.concat_ws(" ", F.slice(w, i + 1, F.lit(3)))
@@ -150,9 +153,10 @@ def sentiment_hits(words: str, lexicon: Lexicon) -> Column:
             .when(_isin(three, lexicon.strong_negative), found(2, 3))
             .when(_isin(two, lexicon.strong_negative), found(2, 2))
         )
-        return strong.when(_isin(word, lexicon.strong_positive | lexicon.positive), found(3, 1)).when(
+        found_any = strong.when(_isin(word, lexicon.strong_positive | lexicon.positive), found(3, 1)).when(
             _isin(word, lexicon.strong_negative | lexicon.negative), found(4, 1)
         )
+        return F.when(_isin(word, starts), found_any)
 
     return F.array_compact(F.transform(w, at))
 

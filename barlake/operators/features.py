@@ -67,19 +67,27 @@ def add_declared_ratios(b: Blocks) -> Blocks:
 def add_regime_inputs(b: Blocks, lookback: int = 20) -> Blocks:
     """Row-level inputs of the regime columns; series shorter than `lookback` stay null."""
     enough = F.col(TOTAL) >= lookback
-    b = b.add({"returns": F.when(enough, change(b, "close"))})
+    have = set(b.df.columns)
+
+    def known(column: str, otherwise: Column) -> Column:
+        """A column that an earlier step has already computed, or the expression for it."""
+        return F.col(column) if column in have else otherwise
+
+    b = b.add({"returns": F.when(enough, known("return", change(b, "close")))})
     short_mean = F.when(F.col(POS) == F.col(TOTAL) - 1, F.avg("close").over(b.trailing(50)))
-    return b.add(
-        {
-            "volatility_20d": b.rolling(F.stddev_samp, "returns", lookback),
-            "sma_20": b.rolling(F.avg, "close", 20),
-            "sma_50": F.when(
-                F.col(TOTAL) >= 50, b.rolling(F.avg, "close", 50)
-            ).when(enough, short_mean),
-            "volume_ma20": F.when(enough, b.rolling(F.avg, "volume", lookback)),
-            "_enough": enough,
-        }
-    )
+    long_mean = known("sma_50", b.rolling(F.avg, "close", 50))
+    inputs = {
+        "volatility_20d": F.when(enough, known("rolling_std_20", b.rolling(F.stddev_samp, "returns", lookback)))
+        if lookback == 20
+        else b.rolling(F.stddev_samp, "returns", lookback),
+        "sma_20": known("sma_20", b.rolling(F.avg, "close", 20)),
+        "sma_50": F.when(F.col(TOTAL) >= 50, long_mean).when(enough, short_mean),
+        "volume_ma20": F.when(
+            enough, known("volume_ma_20", b.rolling(F.avg, "volume", 20)) if lookback == 20 else b.rolling(F.avg, "volume", lookback)
+        ),
+        "_enough": enough,
+    }
+    return b.add(inputs)
 
 
 def add_regime(rows: DataFrame, threshold: DataFrame) -> DataFrame:

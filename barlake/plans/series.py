@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 POS, TOTAL, BLOCK, SUB, CORE, DAY = "_pos", "_n", "_block", "_sub", "_core", "_day"
 HELPERS = [POS, TOTAL, BLOCK, SUB, CORE, DAY]
 BLOCK_ROWS = 32_768
-SUB_ROWS = 256
+SUB_ROWS = 512
 KEYS = ("symbol",)
 
 
@@ -96,8 +96,13 @@ class Blocks:
         if n <= 0:
             raise ValueError("window must be positive")
         column = F.col(column) if isinstance(column, str) else column
-        need = n if min_periods is None else min_periods
-        return F.when(F.count(column).over(self.trailing(n)) >= need, fn(column).over(self.trailing(n)))
+        if min_periods is None:
+            # The newest null tells whether the frame is full and has no null, at the cost of one running value.
+            newest_null = F.last(F.when(column.isNull(), F.col(POS)), True).over(self.running())
+            full = F.col(POS) - F.coalesce(newest_null, F.lit(-1)) >= n
+        else:
+            full = F.count(column).over(self.trailing(n)) >= min_periods
+        return F.when(full, fn(column).over(self.trailing(n)))
 
     def core(self) -> "Blocks":
         """Drop the halo copies; every row is present exactly once afterwards."""
@@ -142,9 +147,12 @@ def series(
 # --- recursive averages --------------------------------------------------------------------
 
 
+NEGLIGIBLE = 5e-17  # below half a unit in the last place of a double
+
+
 def _levels(q: float) -> int:
-    """Sub-blocks to look back until the weight is below 1e-18."""
-    return max(1, ceil(log(1e-18) / (SUB_ROWS * log(q)))) if q > 0 else 1
+    """Whole sub-blocks to look back until the weight of older values is negligible."""
+    return max(1, ceil(log(NEGLIGIBLE) / (SUB_ROWS * log(q)))) if q > 0 else 1
 
 
 def ema_halo(*alphas: float) -> int:
