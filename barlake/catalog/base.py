@@ -68,6 +68,7 @@ def query(key: str, spec: str, sql: str | None = None, views: str = ""):
             raise ValueError(f"duplicate query {key}")
 
         def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finish(fn(Tables(spark, sf_dir)), spec)
 
         run.__doc__ = fn.__doc__

@@ -7,12 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlake.functions.text import ENHANCED, Lexicon
 from barlake.operators import forecast as fc
 from barlake.operators.backtest import backtest, metrics
+from barlake.operators.market import index_features, index_summary, macro_features
+from barlake.operators.news import clean_news, daily_sentiment, score_articles, sentiment_summary
 from barlake.operators.quality import passed_only, quality_report, quarantine, silver, silver_quality
+from barlake.operators.select import latest, latest_per_model, of_symbol
 from barlake.plans.dashboard import overview
 from barlake.plans.gold import gold
-from barlake.sources.payloads import macro_long
+from barlake.sources.payloads import fundamentals, macro_long
 from barlake.sources.tables import PARTITION, Lake, layer_counts
 
 
@@ -26,6 +30,34 @@ def ingest_macro(lake: Lake, families: Mapping[str, tuple[DataFrame, str, str]],
     lake.log("macro", macro_long(dict(families)), run_id)
 
 
+def ingest_news(lake: Lake, articles: DataFrame, run_id: str, lexicon: Lexicon = ENHANCED) -> None:
+    """Cleaned and scored articles by publication date, and their daily sentiment aggregates."""
+    lake.log("silver_news", score_articles(clean_news(articles), lexicon), run_id, ("date",))
+    scored = lake.read_log("silver_news").filter(F.col("run_id") == run_id)
+    lake.log("gold_sentiment", daily_sentiment(scored).drop("timestamp"), run_id)
+
+
+def ingest_sentiment(lake: Lake, as_of: str, run_id: str, days: int = 7) -> None:
+    """One sentiment summary row per symbol from the stored articles."""
+    lake.log("sentiment_summary", sentiment_summary(lake.read_log("silver_news"), as_of, days), run_id)
+
+
+def ingest_fundamentals(lake: Lake, records: DataFrame, run_id: str) -> None:
+    lake.log("silver_fundamentals", fundamentals(records), run_id, ("symbol",))
+
+
+def latest_fundamentals(lake: Lake) -> DataFrame:
+    return latest(lake.read_log("silver_fundamentals"))
+
+
+def write_index_features(lake: Lake, bars: DataFrame, run_id: str) -> None:
+    lake.log("gold_index", index_features(index_summary(bars)), run_id)
+
+
+def write_macro_features(lake: Lake, summary: DataFrame, run_id: str) -> None:
+    lake.log("gold_macro", macro_features(summary), run_id)
+
+
 def refresh_silver(lake: Lake, run_id: str, touched: DataFrame | None = None) -> None:
     """Bronze to Silver, quarantine and quality log; `touched` limits it to some partitions."""
     rows = lake.read("bronze")
@@ -72,6 +104,22 @@ def train(lake: Lake, run_id: str, model: str = "linear_regression") -> DataFram
     return lake.read_log("model_runs").filter(F.col("run_id") == run_id)
 
 
+def trained_models(lake: Lake, symbol: str | None = None) -> DataFrame:
+    """Latest run of each model and symbol, with its metrics and periods."""
+    runs = lake.read_log("model_runs")
+    return latest_per_model(runs if symbol is None else of_symbol(runs, symbol))
+
+
+def predict(lake: Lake, run_id: str, model: str = "linear_regression", last: int = 120, horizon: int = 5) -> DataFrame:
+    """Predictions of all symbols from the coefficients stored by a training run."""
+    bars = lake.read("gold").drop("year", "month")
+    stored = lambda name: lake.read_log(name).filter(F.col("run_id") == run_id).drop("run_id", "created_at")
+    coefficients = stored("model_coefficients")
+    if model == "linear_regression":
+        return fc.predict_linear(bars, stored("model_stats"), coefficients, last)
+    return fc.predict_ar(bars, coefficients, horizon)
+
+
 def run_backtest(lake: Lake, run_id: str, strategy: str, params: Mapping | None = None, **costs) -> DataFrame:
     """Backtest of all symbols on Gold bars, logged with one record per symbol."""
     bars = lake.read("gold").drop("year", "month")

@@ -6,17 +6,22 @@ matching are column expressions.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.parse import comma_number, percent_number
 from barlake.schemas import FUNDAMENTAL_METRICS
 
+# The page walk travels with its task, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VOID = {"br", "img", "meta", "link", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 HIDDEN = {"script", "style"}
 

@@ -143,10 +143,12 @@ class Lake:
 
     # logs ------------------------------------------------------------------------------------------
 
-    def log(self, name: str, df: DataFrame, run_id: str) -> None:
+    def log(self, name: str, df: DataFrame, run_id: str, partition_by: Sequence[str] = ()) -> None:
         """Append run rows; the rows of a repeated run id replace the earlier ones."""
         out = df.withColumns({"run_id": F.lit(run_id), "created_at": F.current_timestamp()})
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path(name))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by, "run_id").parquet(
+            self.path(name)
+        )
 
     def read_log(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))

@@ -91,6 +91,9 @@ def test_whole_run(spark, lake):
     runs = jobs.train(lake, "t1").toPandas()
     assert len(runs) == 2 and (runs["rmse"] >= runs["mae"]).all() and (runs["mae"] > 0).all()
     assert jobs.train(lake, "t2", "arima").count() == 2
+    assert {r["model_name"] for r in jobs.trained_models(lake, "aapl").collect()} == {"linear_regression", "arima"}
+    assert jobs.predict(lake, "t1", last=30).count() == 60
+    assert jobs.predict(lake, "t2", "arima", horizon=5).count() == 10
     assert jobs.run_backtest(lake, "b1", "ma_crossover", {"short_window": 3, "long_window": 8}).count() == 2
     dash = jobs.dashboard(lake).collect()
     assert len(dash) == 2 and dash[0]["latest_pipeline"]["status"] == "completed" and dash[0]["gold_count"] >= 299
@@ -103,3 +106,23 @@ def test_macro_table(spark, lake):
     oil = spark.createDataFrame([("WTI_OIL", "2024-01-01", 80.0)], "commodity string, timestamp string, price double")
     jobs.ingest_macro(lake, {"fx": (fx, "currency_pair", "mid_rate"), "oil": (oil, "commodity", "price")}, "m1")
     assert {r["series"] for r in lake.read_log("macro").collect()} == {"USD/VND", "WTI_OIL"}
+
+
+def test_other_families(spark, lake):
+    articles = spark.createDataFrame(
+        [("vnm", "Strong buy upgrade", "profit growth", "u", "2024-01-02 10:00:00"), (None, "fraud", "", "u", "2024-01-03 10:00:00")],
+        "symbol string, title string, content string, url string, published_date string",
+    )
+    jobs.ingest_news(lake, articles, "n1")
+    jobs.ingest_news(lake, articles, "n1")  # a retry adds nothing
+    assert lake.read_log("silver_news").count() == 2
+    assert {r["symbol"]: r["article_count"] for r in lake.read_log("gold_sentiment").collect()} == {"VNM": 1, "MARKET": 1}
+    jobs.ingest_sentiment(lake, "2024-01-05", "s1")
+    assert {r["symbol"]: r["trend"] for r in lake.read_log("sentiment_summary").collect()} == {"VNM": "positive", "MARKET": "negative"}
+    record = spark.createDataFrame([("vnm", "2024-01-01", 10.0, "2023-09-30")], "symbol string, timestamp string, pe_ratio double, period string")
+    jobs.ingest_fundamentals(lake, record, "f1")
+    jobs.ingest_fundamentals(lake, record.withColumns({"timestamp": F.lit("2024-02-01"), "pe_ratio": F.lit(11.0)}), "f2")
+    row = jobs.latest_fundamentals(lake).first()
+    assert (row["symbol"], row["pe_ratio"], row["year"], row["quarter"]) == ("VNM", 11.0, 2023, 3)
+    jobs.write_index_features(lake, spark.createDataFrame(make_bars(30, symbols=("VNINDEX",))), "i1")
+    assert lake.read_log("gold_index").first()["index_name"] == "VNINDEX"
