@@ -28,9 +28,14 @@ SUB_ROWS = 512
 KEYS = ("symbol",)
 
 
-def day_counts(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "timestamp") -> DataFrame:
-    """One row per (key, day): rows in it, rows before it, rows in the whole series."""
-    per_day = df.groupBy(*keys, F.to_date(order).alias(DAY)).agg(F.count(F.lit(1)).alias("_rows"))
+def day_counts(
+    df: DataFrame, keys: Sequence[str] = KEYS, order: str = "timestamp", bucket: str = "day"
+) -> DataFrame:
+    """One row per (key, day): rows in it, rows before it, rows in the whole series.
+
+    `bucket` names a finer or coarser calendar unit for series with very many or few rows a day.
+    """
+    per_day = df.groupBy(*keys, F.date_trunc(bucket, order).alias(DAY)).agg(F.count(F.lit(1)).alias("_rows"))
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
     return per_day.select(
@@ -47,11 +52,12 @@ def number_rows(
     keys: Sequence[str] = KEYS,
     order: str = "timestamp",
     ties: Sequence[str] = (),
+    bucket: str = "day",
 ) -> DataFrame:
     """Add the 0-based position `_pos` and the series length `_n`."""
-    counts = day_counts(df, keys, order).drop("_rows")
+    counts = day_counts(df, keys, order, bucket).drop("_rows")
     in_day = Window.partitionBy(*keys, DAY).orderBy(order, *ties)
-    rows = df.withColumn(DAY, F.to_date(order)).withColumn("_rn", F.row_number().over(in_day))
+    rows = df.withColumn(DAY, F.date_trunc(bucket, order)).withColumn("_rn", F.row_number().over(in_day))
     return (
         rows.join(counts, [*keys, DAY])
         .withColumn(POS, F.col("_before") + F.col("_rn") - 1)
@@ -139,9 +145,10 @@ def series(
     order: str = "timestamp",
     ties: Sequence[str] = (),
     block_rows: int | None = None,
+    bucket: str = "day",
 ) -> Blocks:
     """`number_rows` followed by `blocks`."""
-    return blocks(number_rows(df, keys, order, ties), before, after, keys, block_rows)
+    return blocks(number_rows(df, keys, order, ties, bucket), before, after, keys, block_rows)
 
 
 # --- recursive averages --------------------------------------------------------------------
@@ -239,17 +246,19 @@ def scan(b: Blocks, specs: dict[str, tuple[str, Column]], exclusive: dict[str, s
 # --- last rows -------------------------------------------------------------------------------
 
 
-def tail_n(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "timestamp") -> DataFrame:
+def tail_n(
+    df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "timestamp", bucket: str = "day"
+) -> DataFrame:
     """The last n rows of every series.
 
     Per-day counts tell which days can hold them, so only those days are shuffled.
     """
     days = (
-        day_counts(df, keys, order)
+        day_counts(df, keys, order, bucket)
         .filter(F.col("_before") + F.col("_rows") > F.col(TOTAL) - n)
         .select(*keys, DAY)
     )
-    recent = df.withColumn(DAY, F.to_date(order)).join(days, [*keys, DAY], "left_semi")
+    recent = df.withColumn(DAY, F.date_trunc(bucket, order)).join(days, [*keys, DAY], "left_semi")
     newest = Window.partitionBy(*keys).orderBy(F.desc(order))
     return recent.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn", DAY)
 
