@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from barlake.catalog.base import query
 from barlake.functions import parse as ps
-from barlake.operators import features as ft
 from barlake.operators import market as mk
-from barlake.operators.select import top_k
 from barlake.plans.views import SQL, NEEDS
 
 SQL["lv"] = """SELECT *, row_number() OVER o AS level, sum(volume) OVER (o ROWS UNBOUNDED PRECEDING) AS cumulative_volume
@@ -82,7 +80,6 @@ query(
 
 def _macro(t):
     """Exchange rate, gold by place and oil from orders of three statuses."""
-    day = F.col("o_orderdate").cast("timestamp").alias("timestamp")
     o = t.table("orders").withColumn("timestamp", F.expr("o_orderdate + make_interval(0, 0, 0, 0, 0, 0, o_orderkey / 1000000.0D)").cast("timestamp"))
     fx = o.filter("o_orderstatus = 'O'").select("timestamp", F.col("o_totalprice").alias("mid_rate"))
     place = F.when(F.col("o_orderpriority") == "5-LOW", "WORLD").otherwise(F.col("o_orderpriority"))

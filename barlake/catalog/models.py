@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlake.catalog import sqlparts
+from barlake.catalog import sqlparts  # noqa: F401  (defines the views used below)
 from barlake.catalog.base import query
-from barlake.operators import features as ft
 from barlake.operators import forecast as fc
-from barlake.operators import indicators
 from barlake.plans.gold import gold_rows
 from barlake.plans.series import series
 from barlake.plans.views import NEEDS, SQL

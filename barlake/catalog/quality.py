@@ -97,9 +97,11 @@ _REPORT = (
 @query(
     "a_gate",
     _REPORT,
-    f"""SELECT symbol, count(*) AS row_count, 0 AS duplicate_count, 0 AS missing_count, 0 AS invalid_ohlc_count,
-        0 AS invalid_volume_count, min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp,
-        'passed' AS quality_status FROM ({_SILVER}) GROUP BY ALL""",
+    f"""SELECT *, CASE WHEN invalid_ohlc_count > 0 OR row_count = 0 THEN 'failed' ELSE 'passed' END AS quality_status
+        FROM (SELECT symbol, count(*) AS row_count, count(*) - count(DISTINCT timestamp) AS duplicate_count,
+        count(*) FILTER ({_MISS}) AS missing_count, count(*) FILTER (NOT {_OK}) AS invalid_ohlc_count,
+        count(*) FILTER ({_NEG}) AS invalid_volume_count, min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp
+        FROM ({_SILVER}) GROUP BY ALL)""",
     "f3",
 )
 def a_gate(t):

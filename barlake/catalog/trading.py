@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlake.catalog import sqlparts
+from barlake.catalog import sqlparts  # noqa: F401  (defines the views used below)
 from barlake.catalog.base import query
 from barlake.operators import backtest as bt
 from barlake.operators import walkforward as wf

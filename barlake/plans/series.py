@@ -272,20 +272,19 @@ def as_of(
 ) -> DataFrame:
     """Backward as-of join of every left row with the newest right row not after it.
 
-    `right` is one series (one row per time). Each right row is valid until the next one;
-    the validity is cut into calendar months, which makes the match an equi-join on the month
-    plus a range test, with no ordered pass over the left side.
+    `right` is one series (one row per time). Each right row is valid until the next one; the
+    validity is cut into calendar days, which makes the match an equi-join on the day plus a range
+    test, with no ordered pass over the left side. The right side grows to one row per day at least.
     """
     horizon = left.agg(F.max(on)).scalar()
     side = right.select(F.lit(0).alias("_series"), F.col(right_on).alias("_from"), *values)
     b = series(side, after=1, keys=["_series"], order="_from")
     side = b.add({"_to": b.lead("_from")}).core().df.select("_from", "_to", *values)
-    month = lambda c: F.trunc(F.to_date(c), "month")
-    last = F.greatest(month(F.col("_from")), month(F.coalesce(F.col("_to"), horizon)))
-    side = side.withColumn("_m", F.explode(F.sequence(month(F.col("_from")), last, F.expr("interval 1 month"))))
+    last = F.greatest(F.to_date("_from"), F.to_date(F.coalesce(F.col("_to"), horizon)))
+    side = side.withColumn("_day_r", F.explode(F.sequence(F.to_date("_from"), last)))
     fits = (
-        (F.col("_lm") == F.col("_m"))
+        (F.col("_day_l") == F.col("_day_r"))
         & (F.col(on) >= F.col("_from"))
         & (F.col("_to").isNull() | (F.col(on) < F.col("_to")))
     )
-    return left.withColumn("_lm", month(F.col(on))).join(side, fits, "left").drop("_lm", "_m", "_from", "_to")
+    return left.withColumn("_day_l", F.to_date(on)).join(side, fits, "left").drop("_day_l", "_day_r", "_from", "_to")

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.parse import comma_number, percent_number
+from barlake.functions.parse import local_number, percent_number
 from barlake.schemas import FUNDAMENTAL_METRICS
 
 # The page walk travels with its task, so workers need no installed copy of this package.
@@ -227,8 +227,6 @@ def ratio_page_rows(pages: DataFrame, key: str = "symbol") -> DataFrame:
 
 def summary_page_rows(pages: DataFrame, key: str = "symbol", cls: str | None = "financial-table") -> DataFrame:
     """Summary page to one row per key: each row belongs to the first fitting entry, the last row wins."""
-    from barlake.functions.parse import local_number
-
     metric = F.lit(None).cast("string")
     for name, terms in reversed(SUMMARY_TERMS):
         hit = F.lit(False)
@@ -244,8 +242,6 @@ def summary_page_rows(pages: DataFrame, key: str = "symbol", cls: str | None = "
 
 def number_cells(pages: DataFrame, now: str | Column, key: str = "page_id") -> DataFrame:
     """(label, first, second, timestamp) of table rows, for the macro readers."""
-    from barlake.functions.parse import local_number
-
     now = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     cells = cell_rows(pages, key).filter(F.size("cells") >= 2)
     return cells.select(

@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barlake.operators import forecast as fc
 from barlake.plans.gold import gold_rows

@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barlake.functions import text as tx
 from barlake.operators import news as nw

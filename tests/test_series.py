@@ -133,5 +133,12 @@ def test_no_window_over_a_whole_symbol(walk):
             assert "_block#" in line or "_day#" in line, line
 
 
+def test_groups_are_bounded(walk):
+    """No (symbol, block) group is larger than a block and its halo, whatever the length of the symbol."""
+    sizes = s.series(walk[1], before=20, after=1, block_rows=100).df.groupBy("symbol", "_block").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 121
+    assert sizes.filter("symbol = 'LONG'").count() == 30
+
+
 def test_bars_helper():
     assert len(make_bars(10)) == 10
