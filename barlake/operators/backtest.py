@@ -102,27 +102,29 @@ def _with_both_states(b: Blocks, fee: float, slippage: float) -> Blocks:
             "_prior": F.last("_order", True).over(b.running(-1)),
         }
     )
-    for case, start in (("0", False), ("1", True)):
+    cases = {"0": False, "1": True}
+    row: dict[str, Column] = {}
+    for case, start in cases.items():
         long, was = (F.coalesce(F.col(c) > 0, F.lit(start)) for c in ("_last", "_prior"))
-        b = b.add({f"_long{case}": long, f"_was{case}": was})
-        enter, leave = (F.col(f"_{x}{case}") & ~F.col(f"_{y}{case}") for x, y in (("long", "was"), ("was", "long")))
-        b = b.add({f"_enter{case}": enter, f"_leave{case}": leave})
+        row |= {f"_long{case}": long, f"_was{case}": was, f"_enter{case}": long & ~was, f"_leave{case}": was & ~long}
+    b = b.add(row)
+    row, running = {}, {}
+    for case in cases:
         enter, leave = F.col(f"_enter{case}"), F.col(f"_leave{case}")
-        factor = F.when(enter, 1.0 / ((1 + fee) * F.col("_in"))).when(leave, F.col("_out") * (1 - fee)).otherwise(1.0)
-        opened = F.when(enter, F.struct(F.col("timestamp").alias("at"), F.col("_in").alias("price")))
-        b = b.add({f"_factor{case}": factor, f"_open{case}": opened})
-        b = b.add(
-            {
-                f"_growth{case}": F.product(f"_factor{case}").over(b.running()),
-                f"_grown{case}": F.coalesce(F.product(f"_factor{case}").over(b.running(-1)), F.lit(1.0)),
-                f"_count{case}": F.count_if(enter).over(b.running()),
-                f"_opened{case}": F.last(f"_open{case}", True).over(b.running()),
-            }
+        row[f"_factor{case}"] = (
+            F.when(enter, 1.0 / ((1 + fee) * F.col("_in"))).when(leave, F.col("_out") * (1 - fee)).otherwise(1.0)
         )
-        worth = F.col(f"_growth{case}") * F.when(F.col(f"_long{case}"), F.col("close")).otherwise(F.lit(1.0))
-        b = b.add({f"_worth{case}": worth})
-        b = b.add({f"_peak{case}": F.max(f"_worth{case}").over(b.running())})
-    return b
+        row[f"_open{case}"] = F.when(enter, F.struct(F.col("timestamp").alias("at"), F.col("_in").alias("price")))
+        running |= {
+            f"_growth{case}": F.product(f"_factor{case}").over(b.running()),
+            f"_grown{case}": F.coalesce(F.product(f"_factor{case}").over(b.running(-1)), F.lit(1.0)),
+            f"_count{case}": F.count_if(enter).over(b.running()),
+            f"_opened{case}": F.last(f"_open{case}", True).over(b.running()),
+        }
+    b = b.add(row).add(running)
+    worth = lambda case: F.col(f"_growth{case}") * F.when(F.col(f"_long{case}"), F.col("close")).otherwise(F.lit(1.0))
+    b = b.add({f"_worth{case}": worth(case) for case in cases})
+    return b.add({f"_peak{case}": F.max(f"_worth{case}").over(b.running()) for case in cases})
 
 
 def _carries(b: Blocks) -> DataFrame:

@@ -103,16 +103,24 @@ def quarantine(df: DataFrame) -> DataFrame:
     one of them is a duplicate.
     """
     rows = add_flags(df).withColumn("_ord", arrival(df))
-    latest = rows.groupBy(*KEY).agg(F.max("_ord").alias("_last")).withColumnsRenamed({k: f"_{k}" for k in KEY})
+    # Only keys with more than one row need a match; they are few in ordinary data.
+    repeated = (
+        rows.groupBy(*KEY)
+        .agg(F.max("_ord").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > 1)
+        .withColumnsRenamed({k: f"_{k}" for k in KEY})
+    )
     same = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("timestamp").eqNullSafe(F.col("_timestamp"))
-    placed = rows.join(latest, same, "left").drop("_symbol", "_timestamp")
+    columns = [*df.columns, *REPORT, "duplicate"]
+    single = rows.filter(any_flag()).join(repeated, same, "left_anti").withColumn("duplicate", F.lit(False))
+    placed = rows.join(repeated, same)
     older = placed.filter(F.col("_ord") != F.col("_last")).withColumn("duplicate", F.lit(True))
     newest = placed.filter(F.col("_ord") == F.col("_last"))
     copies = newest.groupBy(*df.columns, *REPORT).agg(F.count(F.lit(1)).alias("_copies"))
     newest = copies.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     newest = newest.withColumn("duplicate", F.col("_i") < F.col("_copies"))
-    columns = [*df.columns, *REPORT, "duplicate"]
-    flagged = older.select(*columns).unionByName(newest.select(*columns)).filter(any_flag() | F.col("duplicate"))
+    flagged = single.select(*columns).unionByName(older.select(*columns)).unionByName(newest.select(*columns))
+    flagged = flagged.filter(any_flag() | F.col("duplicate"))
     reason = F.concat(*[F.when(F.col(c), f"{c};").otherwise("") for c in (*REPORT, "duplicate")])
     return flagged.withColumn("error_reason", reason).drop(*REPORT, "duplicate")
 

@@ -15,6 +15,7 @@ from barlake.operators.features import (
     volatility_threshold,
 )
 from barlake.operators.indicators import IndicatorConfig, add_indicators, halo
+from barlake.plans.materialize import materialize
 from barlake.plans.series import HELPERS, TOTAL, series
 
 REQUIRED = {"symbol", "timestamp", "open", "high", "low", "close", "volume"}
@@ -38,11 +39,17 @@ def gold(
     macro: DataFrame | None = None,
     include_macro: bool = True,
     rows: DataFrame | None = None,
+    store: bool = False,
     **cut,
 ) -> DataFrame:
-    """Feature and target table. `rows` may hold `gold_rows` already written to storage."""
+    """Feature and target table. `rows` may hold `gold_rows` already written to storage.
+
+    The regime threshold reads the volatility column twice; with `store` that column is written once
+    (see `materialize`) instead of being computed again.
+    """
     rows = gold_rows(bars, config, **cut) if rows is None else rows
-    out = add_regime(rows, volatility_threshold(rows))
+    volatility = rows.select("symbol", "volatility_20d")
+    out = add_regime(rows, volatility_threshold(materialize(volatility, "volatility") if store else volatility))
     if include_macro:
         long_enough = F.col(TOTAL) > 50
         out = add_macro(out, macro)

@@ -76,7 +76,7 @@ def run(lake: Lake, run_id: str, macro: DataFrame | None = None) -> DataFrame:
     report = quality_report(clean, expected=lake.read("bronze").select("symbol"))
     lake.log("gate", report, run_id)
     report = lake.read_log("gate").filter(F.col("run_id") == run_id)
-    lake.write_layer("gold", gold(passed_only(clean, report), macro=macro).drop("batch_seq"))
+    lake.write_layer("gold", gold(passed_only(clean, report), macro=macro, store=True).drop("batch_seq"))
     record = report.select(
         "symbol",
         F.when(F.col("quality_status") == "passed", "completed").otherwise("failed").alias("status"),
