@@ -22,31 +22,32 @@ def change(b: Blocks, column: str) -> Column:
 
 def add_price_features(b: Blocks) -> Blocks:
     """Returns, rolling statistics and lags; needs 22 rows in front."""
-    ratio = F.try_divide(F.col("close"), b.lag("close"))
+    b = b.add_rolling(
+        {
+            "rolling_min_20": (F.min, "close", 20),
+            "rolling_max_20": (F.max, "close", 20),
+            "volume_ma_20": (F.avg, "volume", 20),
+        },
+        {"close_lag_1": b.lag("close"), "close_lag_2": b.lag("close", 2), "volume_lag_1": b.lag("volume")},
+    )
+    ratio = F.try_divide("close", "close_lag_1")
     b = b.add(
         {
             "return": ratio - 1,
             "log_return": F.when(ratio > 0, F.ln(ratio)),
-            "price_change": F.col("close") - b.lag("close"),
-            "volume_change": change(b, "volume"),
-            "rolling_min_20": b.rolling(F.min, "close", 20),
-            "rolling_max_20": b.rolling(F.max, "close", 20),
-            "volume_ma_20": b.rolling(F.avg, "volume", 20),
-            "close_lag_1": b.lag("close"),
-            "close_lag_2": b.lag("close", 2),
-            "volume_lag_1": b.lag("volume"),
+            "price_change": F.col("close") - F.col("close_lag_1"),
+            "volume_change": F.try_divide("volume", "volume_lag_1") - 1,
         }
     )
-    return b.add({"rolling_std_20": b.rolling(F.stddev_samp, "return", 20), "return_lag_1": b.lag("return")})
+    return b.add_rolling({"rolling_std_20": (F.stddev_samp, "return", 20)}, {"return_lag_1": b.lag("return")})
 
 
 def add_target_features(b: Blocks) -> Blocks:
     """Next close, next return and its direction; needs one row behind."""
-    following = b.lead("close")
-    step = F.try_divide(following, F.col("close")) - 1
+    b = b.add({"target_close_next": b.lead("close")})
+    step = F.try_divide("target_close_next", "close") - 1
     return b.add(
         {
-            "target_close_next": following,
             "target_return_next": step,
             "target_direction_next": F.when(step > 0, 1).when(step.isNotNull(), 0),
         }
@@ -74,7 +75,8 @@ def add_regime_inputs(b: Blocks, lookback: int = 20) -> Blocks:
         return F.col(column) if column in have else otherwise
 
     b = b.add({"returns": F.when(enough, known("return", change(b, "close")))})
-    short_mean = F.when(F.col(POS) == F.col(TOTAL) - 1, F.avg("close").over(b.trailing(50)))
+    # Only series of fewer than 50 rows use it; those lie in one block, so the running mean is the whole mean.
+    short_mean = F.when(F.col(POS) == F.col(TOTAL) - 1, F.avg("close").over(b.running()))
     long_mean = known("sma_50", b.rolling(F.avg, "close", 50))
     inputs = {
         "volatility_20d": F.when(enough, known("rolling_std_20", b.rolling(F.stddev_samp, "returns", lookback)))

@@ -110,6 +110,24 @@ class Blocks:
             full = F.count(column).over(self.trailing(n)) >= min_periods
         return F.when(full, fn(column).over(self.trailing(n)))
 
+    def add_rolling(self, specs: dict[str, tuple], others: dict[str, Column] | None = None) -> "Blocks":
+        """Several `rolling` columns {name: (fn, column, n)} and other window columns in one window step.
+
+        The running position of the newest null is computed once per input column.
+        """
+        for _, _, n in specs.values():
+            if n <= 0:
+                raise ValueError("window must be positive")
+        nulls = {
+            f"_null_{c}": F.last(F.when(F.col(c).isNull(), F.col(POS)), True).over(self.running())
+            for c in dict.fromkeys(c for _, c, _ in specs.values())
+        }
+        raw = {f"_raw_{name}": fn(F.col(c)).over(self.trailing(n)) for name, (fn, c, n) in specs.items()}
+        b = self.add({**nulls, **raw, **(others or {})})
+        full = lambda c, n: F.col(POS) - F.coalesce(F.col(f"_null_{c}"), F.lit(-1)) >= n
+        b = b.add({name: F.when(full(c, n), F.col(f"_raw_{name}")) for name, (_, c, n) in specs.items()})
+        return replace(b, df=b.df.drop(*nulls, *raw))
+
     def core(self) -> "Blocks":
         """Drop the halo copies; every row is present exactly once afterwards."""
         return replace(self, df=self.df.filter(CORE))
