@@ -176,6 +176,17 @@ query(
     "SELECT *, close AS adj_close FROM f2",
     "f2",
 )(lambda t: pg.price_rows(_price_pages(t)))
+query(
+    "x_html",
+    "symbol day cells:i volume",
+    """SELECT symbol, strftime(timestamp, '%d/%m/%Y') AS day, 6 AS cells, CAST(CAST(volume AS BIGINT) AS VARCHAR) AS volume FROM f2
+       UNION ALL SELECT symbol, 'total', 6, '1' FROM f2 GROUP BY symbol, date_trunc('month', timestamp)""",
+    "f2",
+)(
+    lambda t: pg.cell_rows(_price_pages(t), "symbol", table_id="table1")
+    .filter(F.size("cells") > 0)
+    .select("symbol", F.col("cells")[0].alias("day"), F.size("cells").alias("cells"), F.replace(F.col("cells")[5], F.lit(","), F.lit("")).alias("volume"))
+)
 # The articles of the pages have no h3, a, h2, date or inner content block: title, link and date are empty.
 query(
     "o_htmlnews",
