@@ -42,24 +42,23 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with later copies of repeated windows cut from `text`, and n_lines (before) and n_removed."""
-    plain = docs.select("doc_id", "text")
-    found = covered_lines(plain).withColumnsRenamed({"doc_id": "_doc"})
-    added = ("n_lines", "n_removed")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *added)]
-    rows = docs.select(*rest, "text", F.xxhash64("text").alias("_own"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["_own"] == found["_key"]), "left")
-    lines = F.split("text", "\n", -1)
+    found = covered_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "_doc"})
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_own"))
+    rows = rows.join(found, rows["_id"].eqNullSafe(found["_doc"]) & (rows["_own"] == found["_key"]), "left")
+    before = F.col("_row.text")
+    lines = F.split(before, "\n", -1)
     covered = F.flatten(F.transform("_starts", lambda s: F.array(s, s + 1, s + 2)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     hit = F.col("_starts").isNotNull()
-    columns = {
-        "text": F.when(hit, text).otherwise(F.col("text")),
-        "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+    new = {
+        "text": F.when(hit, text).otherwise(before),
+        "n_lines": F.when(before.isNull(), 0).otherwise(F.size(lines)).cast("long"),
         "n_removed": F.when(hit, F.size(F.array_distinct(covered))).otherwise(0).cast("long"),
     }
-    order = [c for c in docs.columns if c not in added]
-    return rows.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in order], *[columns[c].alias(c) for c in added])
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
 
 
 SQL = """
@@ -68,20 +67,22 @@ WITH lines AS (
 ), keyed AS (
   SELECT DISTINCT doc_id, text, l FROM lines
 ), windows AS (
-  SELECT doc_id, text, i - 1 AS at, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c
+  SELECT doc_id, text, i - 1 AS pos, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c
   FROM (SELECT doc_id, text, l, unnest(range(1, len(l) - 1)) AS i FROM keyed WHERE len(l) >= 3)
   WHERE regexp_matches(l[i] || l[i + 1] || l[i + 2], '[^\\x20\\x09-\\x0D]')
 ), ranked AS (
-  SELECT doc_id, text, at, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, at) AS n FROM windows
+  SELECT doc_id, text, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n FROM windows
 ), covered AS (
-  SELECT DISTINCT doc_id, text, at + unnest([0, 1, 2]) AS at FROM ranked WHERE n > 1
+  SELECT DISTINCT doc_id, text, pos + unnest([0, 1, 2]) AS pos FROM ranked WHERE n > 1
 ), removed AS (
-  SELECT doc_id, text, list(at) AS gone FROM covered GROUP BY ALL
+  SELECT doc_id, text, count(*) AS n FROM covered GROUP BY doc_id, text
+), kept AS (
+  SELECT k.doc_id, k.text, string_agg(k.line, chr(10) ORDER BY k.pos) AS rest
+  FROM (SELECT doc_id, text, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM keyed) k
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = k.doc_id AND c.text = k.text AND c.pos = k.pos)
+  GROUP BY k.doc_id, k.text
 )
-SELECT d.doc_id,
-       CASE WHEN r.gone IS NULL THEN d.text
-            ELSE array_to_string(list_filter(string_split(d.text, chr(10)), (x, i) -> NOT list_contains(r.gone, i - 1)), chr(10)) END AS text,
-       CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
-       CAST(coalesce(len(r.gone), 0) AS BIGINT) AS n_removed
-FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id AND d.text = r.text
+SELECT d.doc_id, CASE WHEN r.n IS NULL THEN d.text ELSE coalesce(k.rest, '') END AS text,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN removed r ON d.doc_id = r.doc_id AND d.text = r.text LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 """

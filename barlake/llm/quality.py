@@ -181,4 +181,5 @@ def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     key = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("lang"))
     verdicts = judged(docs.select(key.alias("doc_id"), "text", "lang"), rules)
     good = verdicts.where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(good, "_key", "left_semi").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(whole, key.alias("_key")).join(good, "_key", "left_semi").select("_row.*")

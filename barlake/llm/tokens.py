@@ -1,7 +1,7 @@
 """Token ids under public vocabularies, with each distinct word encoded once per worker.
 
 The vocabularies below never merge across ASCII white space (see each function), so the ids of a text are those of
-its pieces between white space. A worker keeps the ids of up to `CACHE_WORDS` pieces; a full cache starts anew.
+its pieces between white space. A worker keeps the ids of a bounded number of pieces; a full cache starts anew.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+#: Pieces kept per vocabulary and worker: about 200 bytes each. Vocabularies that are used side by side keep fewer.
+CACHE_WORDS, CACHE_BESIDE = 900_000, 400_000
 
 
 def vocabulary(name: str) -> str:
@@ -28,12 +29,12 @@ def vocabulary(name: str) -> str:
 class Pieces:
     """Ids of byte strings as uint32 bytes; `encode(list of str)` runs for those not seen yet."""
 
-    def __init__(self, encode):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode, limit: int = CACHE_BESIDE):
+        self.encode, self.limit, self.known = encode, limit, {}
 
     def add(self, pieces) -> dict:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(pieces)
         for at in range(0, len(new), 20_000):
@@ -72,7 +73,7 @@ def _word_pieces(path: str) -> Pieces:
             out[i] = ids
         return out
 
-    return Pieces(encode)
+    return Pieces(encode, CACHE_WORDS)
 
 
 def word_bpe(texts: list[bytes], path: str) -> list[np.ndarray]:
