@@ -21,6 +21,8 @@ LEXICON = tx.Lexicon(
 )
 _BASIC = tx.Lexicon(positive=LEXICON.positive, negative=LEXICON.negative)
 AS_OF = "2024-01-31"
+#: Articles without a symbol fall on the 1st, 11th and 21st.
+MARKET_AS_OF = "2024-01-25"
 
 _W = r"'[\p{L}\p{N}_]+'"
 _S = r"'[^\s\p{Z}]+'"
@@ -118,9 +120,9 @@ query(
 query(
     "p_market",
     "doc_id:i symbol published_date:t",
-    f"SELECT * FROM ({_CLEAN}) WHERE symbol = 'MARKET' AND published_date >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY",
+    f"SELECT * FROM ({_CLEAN}) WHERE symbol = 'MARKET' AND published_date >= TIMESTAMP '{MARKET_AS_OF}' - INTERVAL 7 DAY",
     "news",
-)(lambda t: nw.market_news(nw.clean_news(t.news), AS_OF))
+)(lambda t: nw.market_news(nw.clean_news(t.news), MARKET_AS_OF))
 query(
     "p_newsrel",
     "doc_id:i lang",

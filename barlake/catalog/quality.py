@@ -188,7 +188,7 @@ query(
     "news",
 )(
     lambda t: t.news.agg(
-        F.size(F.collect_set(F.coalesce(F.upper("symbol"), F.lit("MARKET")))).alias("symbols"),
+        F.count_distinct(F.coalesce(F.upper("symbol"), F.lit("MARKET"))).alias("symbols"),
         F.min("published_date").alias("first_date"),
         F.max("published_date").alias("last_date"),
     )

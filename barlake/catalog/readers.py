@@ -82,8 +82,8 @@ query("o_yf", _BAR + " source", f"SELECT *, 'vendor' AS source FROM ({_F1})", "f
 
 
 def _books(t):
-    """One payload per (symbol, month) snapshot with the ten best levels per side."""
-    best = number_levels(t.levels).filter("level <= 10")
+    """One payload per (symbol, month) snapshot with all levels of both sides."""
+    best = number_levels(t.levels)
     entry = F.struct("level", F.col("price").alias("Price"), F.col("volume").alias("Volume"), F.col("orders").alias("Orders"))
     side = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, entry)))
     books = best.groupBy("symbol", "timestamp").agg(side("bid").alias("Buy"), side("ask").alias("Sell"))
@@ -93,7 +93,7 @@ def _books(t):
 query(
     "o_objson",
     "symbol timestamp:t side level:i price:4 volume:i orders:i cumulative_volume:i",
-    "SELECT * FROM lv WHERE level <= 10",
+    "SELECT * FROM lv",
     "lv",
 )(lambda t: flatten_book(pl.book_snapshots(_books(t))))
 
@@ -119,8 +119,7 @@ query(
     "symbol period timestamp:t total_revenue:0 gross_profit:2 net_income:2",
     """SELECT upper(o_orderpriority) AS symbol, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS period,
        date_trunc('quarter', o_orderdate) AS timestamp, sum(o_totalprice) AS total_revenue, max(o_totalprice) AS gross_profit,
-       CAST(NULL AS DOUBLE) AS net_income FROM orders GROUP BY 1, 2, 3
-       QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) <= 4""",
+       CAST(NULL AS DOUBLE) AS net_income FROM orders GROUP BY 1, 2, 3""",
 )(lambda t: pl.statement_rows(_statements(t), "income"))
 
 
@@ -191,9 +190,9 @@ query(
 query(
     "o_htmlnews",
     "page_id:i item:i title link date_text content",
-    """SELECT page_id, 0 AS item, '' AS title, '' AS link, '' AS date_text, left(regexp_replace(replace(replace(replace(array_to_string(
+    """SELECT page_id, 0 AS item, '' AS title, '' AS link, '' AS date_text, regexp_replace(replace(replace(replace(array_to_string(
        list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '<[^>]*>'),
-       lambda x: trim(x, chr(10) || chr(13) || chr(9) || ' ')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), 2000)
+       lambda x: trim(x, chr(10) || chr(13) || chr(9) || ' ')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g')
        AS content FROM pages""",
 )(lambda t: pg.news_rows(t.table("pages")))
 

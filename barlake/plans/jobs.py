@@ -20,9 +20,9 @@ from barlake.sources.payloads import fundamentals, macro_long
 from barlake.sources.tables import PARTITION, Lake, layer_counts
 
 
-def ingest(lake: Lake, bars: DataFrame, batch_seq: int, lineage: dict[str, str] | None = None) -> None:
-    """Source bars of any number of symbols to Bronze."""
-    lake.append_bronze(bars, batch_seq, lineage)
+def ingest(lake: Lake, bars: DataFrame, batch_seq: int, lineage: dict[str, str] | None = None, writer: str = "batch") -> dict[str, int]:
+    """Source bars of any number of symbols to Bronze; returns the counts of the batch."""
+    return lake.append_bronze(bars, batch_seq, lineage, writer)
 
 
 def ingest_macro(lake: Lake, families: Mapping[str, tuple[DataFrame, str, str]], run_id: str) -> None:
@@ -64,7 +64,9 @@ def refresh_silver(lake: Lake, run_id: str, touched: DataFrame | None = None) ->
     if touched is not None:
         rows = rows.join(touched.select(*PARTITION).distinct(), list(PARTITION), "left_semi")
     rows = rows.drop("year", "month")
-    lake.write_layer("silver", silver(rows))
+    clean = silver(rows)
+    lake.write_layer("silver", clean)
+    lake.clear_stale("silver", clean.select("symbol", "timestamp"), touched)
     lake.log("silver_errors", quarantine(rows), run_id)
     lake.log("quality", silver_quality(rows), run_id)
 
@@ -76,7 +78,9 @@ def run(lake: Lake, run_id: str, macro: DataFrame | None = None) -> DataFrame:
     report = quality_report(clean, expected=lake.read("bronze").select("symbol"))
     lake.log("gate", report, run_id)
     report = lake.read_log("gate").filter(F.col("run_id") == run_id)
-    lake.write_layer("gold", gold(passed_only(clean, report), macro=macro, store=True).drop("batch_seq"))
+    passed = passed_only(clean, report)
+    lake.write_layer("gold", gold(passed, macro=macro, store=True).drop("batch_seq"))
+    lake.clear_stale("gold", passed.select("symbol", "timestamp"))
     record = report.select(
         "symbol",
         F.when(F.col("quality_status") == "passed", "completed").otherwise("failed").alias("status"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,17 +10,11 @@ from barlake.session import checkpoint_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from Parquet.
-
-    The folder is the one named by `spark.checkpoint.dir`. Where it is unset, a local session uses a
-    temporary folder and a cluster session keeps the plan as it is.
-    """
+    """The same rows read back from Parquet in the folder named by `spark.checkpoint.dir`; the plan itself where it names none."""
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
-        folder = tempfile.mkdtemp(prefix="barlake-")
+        return df
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -189,13 +189,21 @@ def ema(b: Blocks, specs: dict[str, tuple[str, float, int, int]]) -> Blocks:
     """Recursive averages y = (1-a) y' + a x, seeded with the first value.
 
     `specs` maps an output column to (input column, a, position of the first value,
-    min_periods). The input must have no nulls after its first value.
+    min_periods). The input must have no nulls after its first value. With a = 1 the average is
+    the input itself.
     """
+    whole = {name: spec for name, spec in specs.items() if spec[1] >= 1}
+    if whole:
+        b = b.add({name: F.when(F.col(POS) >= start + least - 1, F.col(source)) for name, (source, _, start, least) in whole.items()})
+        specs = {name: spec for name, spec in specs.items() if spec[1] < 1}
+        if not specs:
+            return b
     pos, j = F.col(POS), F.col(POS) % SUB_ROWS
     local, tails, out = {}, {}, {}
     for name, (source, alpha, start, _) in specs.items():
         q = 1 - alpha
-        term = F.when(pos == start, F.col(source)).when(pos > start, F.col(source) * alpha)
+        checked = F.when(pos > start, F.coalesce(F.col(source), F.raise_error(F.lit(f"null inside the series of {name}")).cast("double")))
+        term = F.when(pos == start, F.col(source)).when(pos > start, checked * alpha)
         decayed = F.sum(term * F.pow(F.lit(q), -j)).over(b.sub)
         local[f"_l_{name}"] = F.coalesce(decayed * F.pow(F.lit(q), j), F.lit(0.0))
     b = b.add(local)

@@ -35,10 +35,14 @@ class Element:
         self.tag, self.attrs, self.parts = tag, attrs, []
 
     def walk(self) -> Iterator["Element"]:
-        for part in self.parts:
-            if isinstance(part, Element):
+        left = [iter(self.parts)]
+        while left:
+            part = next(left[-1], None)
+            if part is None:
+                left.pop()
+            elif isinstance(part, Element):
                 yield part
-                yield from part.walk()
+                left.append(iter(part.parts))
 
     def find(self, tag: str, cls: str | None = None, id_: str | None = None) -> "Element | None":
         return next(self.find_all(tag, cls, id_), None)
@@ -52,16 +56,16 @@ class Element:
 
     def text(self) -> str:
         """Stripped text pieces joined without a separator."""
-        pieces: list[str] = []
-        self._collect(pieces)
-        return "".join(p.strip() for p in pieces)
-
-    def _collect(self, pieces: list[str]) -> None:
-        for part in self.parts:
-            if isinstance(part, str):
-                pieces.append(part)
+        pieces, left = [], [iter(self.parts)]
+        while left:
+            part = next(left[-1], None)
+            if part is None:
+                left.pop()
+            elif isinstance(part, str):
+                pieces.append(part.strip())
             elif part.tag not in HIDDEN:
-                part._collect(pieces)
+                left.append(iter(part.parts))
+        return "".join(pieces)
 
 
 class _Builder(HTMLParser):
@@ -108,12 +112,11 @@ def table_cells(html: str, table_id: str | None = None, cls: str | None = None)
     return [[c.text() for c in row.find_all("td")] for t in tables for row in t.find_all("tr")]
 
 
-def news_items(html: str, base: str) -> list[tuple[str, str, str, str]]:
-    """(title, link, date text, body) of the news items on a page.
+def news_items(html: str, base: str, longest: int | None = None) -> list[tuple[str, str, str, str]]:
+    """(title, link, date text, body) of the news items on a page; `longest` cuts the body if given.
 
     Items are `div.news-item`, else `li.news`, else `article`. The title is the first h3, else a, else
-    h2. The body is `div.content`, `article` or `div#content` inside the item or the item itself, cut at
-    2,000 characters.
+    h2. The body is `div.content`, `article` or `div#content` inside the item or the item itself.
     """
     root = parse_html(html)
     items = list(root.find_all("div", "news-item")) or list(root.find_all("li", "news")) or list(root.find_all("article"))
@@ -128,7 +131,7 @@ def news_items(html: str, base: str) -> list[tuple[str, str, str, str]]:
         body = item.find("div", "content") or item.find("article") or item.find("div", id_="content")
         if body is None and item.tag == "article":
             body = item
-        out.append((title.text() if title else "", href, date.text() if date else "", body.text()[:2000] if body else ""))
+        out.append((title.text() if title else "", href, date.text() if date else "", body.text()[:longest] if body else ""))
     return out
 
 
@@ -156,9 +159,11 @@ def cell_rows(pages: DataFrame, key: str, table_id: str | None = None, cls: str
     return pages.select(key, "html").mapInPandas(extract, f"{key} {kind}, row int, cells array<string>")
 
 
-def price_rows(pages: DataFrame, key: str = "symbol", limit: int = 365) -> DataFrame:
-    """Price table to bars: header skipped, at most `limit` rows per page, unreadable rows dropped."""
-    cells = cell_rows(pages, key, table_id="table1").filter((F.col("row") >= 1) & (F.col("row") <= limit) & (F.size("cells") >= 6))
+def price_rows(pages: DataFrame, key: str = "symbol", limit: int | None = None) -> DataFrame:
+    """Price table to bars: header skipped, unreadable rows dropped; `limit` keeps the first rows of each page if given."""
+    cells = cell_rows(pages, key, table_id="table1").filter((F.col("row") >= 1) & (F.size("cells") >= 6))
+    if limit is not None:
+        cells = cells.filter(F.col("row") <= limit)
     c = lambda i: F.col("cells")[i]
     number = lambda i: F.replace(c(i), F.lit(","), F.lit("")).try_cast("double")
     out = cells.select(

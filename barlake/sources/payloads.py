@@ -108,14 +108,15 @@ _LEVELS = {
 }
 
 
-def book_snapshots(payloads: DataFrame, layout: str = "first", depth: int = 10) -> DataFrame:
-    """Order-book payload to a nested snapshot with at most `depth` levels per side."""
+def book_snapshots(payloads: DataFrame, layout: str = "first", depth: int | None = None) -> DataFrame:
+    """Order-book payload to a nested snapshot; `depth` keeps the best levels per side if given."""
     bid, ask, price, volume, orders = _LEVELS[layout]
     level = f"struct<{price}: double, {volume}: bigint, {orders}: bigint>"
     parsed = F.from_json("payload", f"struct<{bid}: array<{level}>, {ask}: array<{level}>>")
 
     def side(name: str) -> Column:
-        cut = F.slice(F.coalesce(parsed[name], F.array().cast(f"array<{level}>")), 1, depth)
+        cut = F.coalesce(parsed[name], F.array().cast(f"array<{level}>"))
+        cut = cut if depth is None else F.slice(cut, 1, depth)
         return F.transform(
             cut,
             lambda x: F.struct(
@@ -128,10 +129,11 @@ def book_snapshots(payloads: DataFrame, layout: str = "first", depth: int = 10)
     return top_of_book(payloads.select(F.upper("symbol").alias("symbol"), "timestamp", side(bid).alias("bids"), side(ask).alias("asks")))
 
 
-def trade_rows(payloads: DataFrame, now: str | Column, limit: int = 100) -> DataFrame:
-    """Trades payload to rows; type `KL` is a buy."""
+def trade_rows(payloads: DataFrame, now: str | Column, limit: int | None = None) -> DataFrame:
+    """Trades payload to rows; type `KL` is a buy; `limit` keeps the first trades of each payload if given."""
     item = "struct<Time: string, Price: double, Volume: bigint, Type: string>"
-    data = F.slice(F.from_json("payload", f"struct<Data: array<{item}>>")["Data"], 1, limit)
+    data = F.from_json("payload", f"struct<Data: array<{item}>>")["Data"]
+    data = data if limit is None else F.slice(data, 1, limit)
     return payloads.select("symbol", F.explode(data).alias("d")).select(
         F.upper("symbol").alias("symbol"),
         clock_time(F.coalesce("d.Time", F.lit("")), now).alias("timestamp"),
@@ -187,13 +189,13 @@ RATIO_FIELDS = {
 }
 
 
-def statement_rows(payloads: DataFrame, kind: str, periods: int = 4) -> DataFrame:
-    """Statement payload to one row per (symbol, period), first N periods."""
+def statement_rows(payloads: DataFrame, kind: str, periods: int | None = None) -> DataFrame:
+    """Statement payload to one row per (symbol, period); `periods` keeps the first ones if given."""
     outer, inner, fields = STATEMENTS[kind]
     values = "map<string, struct<raw: double>>"
     schema = f"struct<chart: struct<result: array<struct<{outer}: struct<{inner}: array<map<string, {values}>>>>>>>"
     listed = F.get(F.from_json("payload", schema)["chart"]["result"], F.lit(0))[outer][inner]
-    rows = payloads.select("symbol", F.explode(F.slice(listed, 1, periods)).alias("m"))
+    rows = payloads.select("symbol", F.explode(listed if periods is None else F.slice(listed, 1, periods)).alias("m"))
     rows = rows.select("symbol", F.explode("m").alias("period", "v"))
     return rows.select(
         F.upper("symbol").alias("symbol"),

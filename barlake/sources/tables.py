@@ -12,7 +12,9 @@ from barlake.operators.quality import conform, keep_last
 from barlake.operators.select import in_range, of_symbol
 
 PARTITION = ("symbol", "year", "month")
-LOG_PARTITION = (*PARTITION, "batch_seq")
+LOG_PARTITION = (*PARTITION, "writer", "batch_seq")
+#: A later landing wins, whatever time its rows carry.
+LANDING_ORDER = ("landed_at", "ingestion_time", "batch_seq")
 
 
 # --- frame level -----------------------------------------------------------------------------------
@@ -79,6 +81,12 @@ def ingest_summary(frames: Sequence[DataFrame]) -> DataFrame:
 # --- storage level ---------------------------------------------------------------------------------
 
 
+BARS = (
+    "timestamp timestamp, open double, high double, low double, close double, adj_close double, volume double, source string, "
+    "ingestion_time timestamp, symbol string, year int, month int"
+)
+
+
 class Lake:
     """Layer tables under one root folder (local path, or any Hadoop URI such as ``s3a://``)."""
 
@@ -93,7 +101,9 @@ class Lake:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def read(self, layer: str, symbol: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-        """Rows of a layer; symbol and time range become partition filters."""
+        """Rows of a layer; symbol and time range become partition filters. A layer that was never written is empty."""
+        if not self.exists(layer):
+            return self.spark.createDataFrame([], BARS)
         df = self.spark.read.option("basePath", self.path(layer)).parquet(self.path(layer))
         df = df if symbol is None else of_symbol(df, symbol)
         ym = F.col("year") * 12 + F.col("month") if {"year", "month"} <= set(df.columns) else None
@@ -120,23 +130,48 @@ class Lake:
 
     # Bronze ----------------------------------------------------------------------------------------
 
-    def append_bronze(self, bars: DataFrame, batch_seq: int, lineage: dict[str, str] | None = None) -> None:
+    def append_bronze(self, bars: DataFrame, batch_seq: int, lineage: dict[str, str] | None = None, writer: str = "batch") -> dict[str, int]:
         """Land one batch: every arrival goes to `bronze_log`, the touched partitions of `bronze` are upserted.
 
-        Rerunning a batch overwrites its own log partition, so a retry adds nothing twice.
+        A batch is known by its writer and number, so writers do not replace each other's batches. Rerunning a batch
+        overwrites its own log partition and keeps its first landing time, so a retry adds nothing twice and does not
+        overtake later batches. Returns the rows received, written (distinct keys) and duplicates, and the partitions.
         """
+        own = (F.col("writer") == writer) & (F.col("batch_seq") == batch_seq)
+        before = self.read("bronze_log").filter(own).agg(F.min("landed_at")).first()[0] if self.exists("bronze_log") else None
+        landed_at = F.current_timestamp() if before is None else F.lit(before)
         rows = conform(bars).withColumn("ingestion_time", F.coalesce("ingestion_time", F.current_timestamp()))
-        self.overwrite_partitions("bronze_log", with_partition(rows).withColumn("batch_seq", F.lit(batch_seq)), LOG_PARTITION)
+        named = {"writer": F.lit(writer), "batch_seq": F.lit(batch_seq), "landed_at": landed_at}
+        self.overwrite_partitions("bronze_log", with_partition(rows).withColumns(named), LOG_PARTITION)
         log = self.read("bronze_log")
-        landed = log.filter(F.col("batch_seq") == batch_seq)
+        landed = log.filter(own)
         # The log is the source of the current view, so no partition is read while it is rewritten;
         # the semi join on partition columns reads the touched months only.
         arrivals = log.join(landed.select(*PARTITION).distinct(), list(PARTITION), "left_semi")
-        self.overwrite_partitions("bronze", keep_last(arrivals))
-        note = {"layer": "bronze", "batch_seq": str(batch_seq), **(lineage or {})}
+        self.overwrite_partitions("bronze", keep_last(arrivals, order=LANDING_ORDER).drop("writer", "landed_at"))
+        note = {"layer": "bronze", "writer": writer, "batch_seq": str(batch_seq), **(lineage or {})}
         self.log("lineage", landed.groupBy("symbol").agg(F.count(F.lit(1)).alias("records_received")).withColumn(
             "lineage", F.to_json(F.create_map(*[F.lit(x) for kv in note.items() for x in kv]))
-        ), str(batch_seq))
+        ), str(batch_seq) if writer == "batch" else f"{writer}-{batch_seq}")
+        keys = landed.groupBy("symbol", "timestamp", *PARTITION[1:]).agg(F.count(F.lit(1)).alias("n"))
+        parts = keys.groupBy(*PARTITION).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"))
+        total = parts.agg(F.sum("n").alias("received"), F.sum("keys").alias("written"), F.count(F.lit(1)).alias("partitions")).first()
+        received, written = total["received"] or 0, total["written"] or 0
+        return {"received": received, "written": written, "duplicates": received - written, "partitions": total["partitions"]}
+
+    def clear_stale(self, layer: str, valid: DataFrame, touched: DataFrame | None = None) -> None:
+        """Remove the partitions of a layer (of those touched) that hold no row of `valid` any more."""
+        if not self.exists(layer):
+            return
+        there = self.read(layer).select(*PARTITION).distinct()
+        if touched is not None:
+            there = there.join(touched.select(*PARTITION).distinct(), list(PARTITION), "left_semi")
+        gone = there.join(with_partition(valid).select(*PARTITION).distinct(), list(PARTITION), "left_anti")
+        jvm = self.spark._jvm
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in gone.toLocalIterator():
+            p = jvm.org.apache.hadoop.fs.Path("/".join([self.path(layer), *[f"{c}={escape(str(row[c]))}" for c in PARTITION]]))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def write_layer(self, layer: str, df: DataFrame) -> None:
         self.overwrite_partitions(layer, with_partition(df))

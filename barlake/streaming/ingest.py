@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from barlake.operators.quality import conform
 from barlake.operators.select import new_rows
 from barlake.plans.jobs import refresh_silver
 from barlake.sources.tables import Lake, with_partition
@@ -23,16 +24,23 @@ def trigger_options(once: bool = True, every: str | None = None) -> dict:
     return {"processingTime": every} if every else ({"availableNow": True} if once else {"processingTime": "0 seconds"})
 
 
-def bar_ingest(lake: Lake, hooks: list[Hook] | None = None, first_batch: int = 0) -> Hook:
+def writer_of(batch: DataFrame, name: str | None = None) -> str:
+    """Who writes a micro-batch: the given name, else the query id, which belongs to the checkpoint."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return name or (f"stream-{query}" if query else "stream")
+
+
+def bar_ingest(lake: Lake, hooks: list[Hook] | None = None, first_batch: int = 0, writer: str | None = None) -> Hook:
     """foreachBatch function: Bronze, Silver, then the user hooks, whose errors are logged only.
 
-    The batch id is the log partition, so a replayed batch overwrites what it wrote before.
+    Writer and batch id are the log partition, so a replayed batch overwrites what it wrote before, and neither
+    another stream nor a new checkpoint does.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seq = first_batch + batch_id
-        lake.append_bronze(batch, seq, {"source": "stream"})
-        refresh_silver(lake, f"batch-{seq}", with_partition(batch.select("symbol", "timestamp")))
+        seq, who = first_batch + batch_id, writer_of(batch, writer)
+        lake.append_bronze(batch, seq, {"source": "stream"}, who)
+        refresh_silver(lake, f"{who}-{seq}", with_partition(conform(batch).select("symbol", "timestamp")))
         for hook in hooks or []:
             try:
                 hook(batch, batch_id)
@@ -44,24 +52,21 @@ def bar_ingest(lake: Lake, hooks: list[Hook] | None = None, first_batch: int = 0
 
 def table_ingest(lake: Lake, layer: str) -> Hook:
     """foreachBatch function for the other families: one log partition per batch."""
-    return lambda batch, batch_id: lake.log(layer, batch, str(batch_id))
+    return lambda batch, batch_id: lake.log(layer, batch, f"{writer_of(batch)}-{batch_id}")
 
 
 def only_new(lake: Lake, sink: Hook, table: str = "high_water") -> Hook:
     """foreachBatch function that passes on rows newer than the stored last time of their symbol.
 
-    The state is one row per symbol and batch; the newest batch before the current one counts, so a
-    replay sees the same state.
+    The state is one row per symbol and batch; all batches but the current one count, so a replay sees
+    the same state and a new checkpoint goes on from the old one's.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if lake.exists(table):
-            earlier = lake.read_log(table).filter(F.col("run_id").cast("long") < batch_id)
-            rows = new_rows(batch, earlier)
-        else:
-            rows = batch
+        own = f"{writer_of(batch)}-{batch_id}"
+        rows = new_rows(batch, lake.read_log(table).filter(F.col("run_id") != own)) if lake.exists(table) else batch
         sink(rows, batch_id)
-        lake.log(table, rows.groupBy("symbol").agg(F.max("timestamp").alias("timestamp")), str(batch_id))
+        lake.log(table, rows.groupBy("symbol").agg(F.max("timestamp").alias("timestamp")), own)
 
     return write
 

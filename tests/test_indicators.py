@@ -135,3 +135,14 @@ def test_description(spark):
     assert got["volatility"].startswith("Close is above")
     none = row.withColumn("sma_50", F.lit(None).cast("double")).select(ind.describe()["trend"].alias("t")).first()
     assert none["t"] == "insufficient data"
+
+
+def test_window_one_is_the_series(spark):
+    out = collect(ind.add_ema(series(frame(spark, [1.0, 5.0, 2.0, 4.0])), [1, 2]).df, "timestamp")
+    assert out["ema_1"].tolist() == [1.0, 5.0, 2.0, 4.0]
+
+
+def test_null_inside_a_series_raises(spark):
+    with pytest.raises(Exception, match="null inside the series"):
+        gap = frame(spark, [1, 2, 3, 4]).withColumn("close", F.when(F.col("close") != 3, F.col("close")))
+        ind.add_ema(series(gap), [3]).df.collect()

@@ -149,3 +149,11 @@ def test_files(spark, tmp_path):
     files.export_csv(spark.createDataFrame(pdf), str(tmp_path / "out"))
     again = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out"))
     assert again.count() == 30 and set(again.columns) == {"symbol", *files.CSV_COLUMNS}
+
+
+def test_deep_pages():
+    from barlake.sources.pages import news_items, parse_html
+
+    assert parse_html("<p>" * 100_000 + "end").text() == "end"
+    body = "word " * 2_000
+    assert news_items(f"<article>{body}</article>", "http://x")[0][3] == body.strip()

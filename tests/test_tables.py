@@ -126,3 +126,30 @@ def test_other_families(spark, lake):
     assert (row["symbol"], row["pe_ratio"], row["year"], row["quarter"]) == ("VNM", 11.0, 2023, 3)
     jobs.write_index_features(lake, spark.createDataFrame(make_bars(30, symbols=("VNINDEX",))), "i1")
     assert lake.read_log("gold_index").first()["index_name"] == "VNINDEX"
+
+
+def test_two_writers_share_a_batch_number(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert lake.read("bronze").count() == 0
+    first = lake.append_bronze(batch(spark, make_bars(5), "2024-06-02"), 0)
+    again = make_bars(5).assign(close=lambda d: d["open"])
+    second = lake.append_bronze(batch(spark, again.iloc[:2], "2024-06-01"), 0, writer="stream")
+    assert (first["received"], first["written"], first["duplicates"]) == (5, 5, 0) and second["received"] == 2
+    rows = lake.read("bronze").orderBy("timestamp").toPandas()
+    assert len(rows) == 5
+    # the later landing wins although its rows carry an earlier time, and a replay of the first batch changes nothing
+    assert (rows["close"][:2] == rows["open"][:2]).all() and (rows["close"][2:] != rows["open"][2:]).all()
+    lake.append_bronze(batch(spark, make_bars(5), "2024-06-02"), 0)
+    assert lake.read("bronze").orderBy("timestamp").toPandas()["close"].tolist() == rows["close"].tolist()
+
+
+def test_emptied_partition_leaves_silver(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = make_bars(30)
+    lake.append_bronze(batch(spark, rows, "2024-06-01"), 1)
+    jobs.refresh_silver(lake, "a")
+    months = lake.read("silver").select("month").distinct().count()
+    bad = rows[rows["timestamp"].dt.month == 1].assign(high=-1.0)
+    lake.append_bronze(batch(spark, bad, "2024-06-02"), 2)
+    jobs.refresh_silver(lake, "b")
+    assert lake.read("silver").select("month").distinct().count() == months - 1
