@@ -33,9 +33,9 @@ from barlake.llm.words import SPACE, cut, mix, run_hashes, slices, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
 CHUNK_DOCS = 60_000
-TOKENS_PER_TASK = 2_000_000
+TOKENS_PER_TASK = 1_000_000
 SEVERAL = 0xFFFF
 NO_ID = -(2**63)
 

@@ -122,10 +122,13 @@ def measure(docs: DataFrame, rules: Rules | None = None, inner: int = 2_000_000)
         model = tokens.piece_model(rules.piece_vocabulary)
         bytes_ = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         pieces, ranked = tokens.piece_words(rules.piece_vocabulary), tokens.rank_words(rules.byte_vocabulary)
-        for batch in batches:
-            for a, b in slices(batch.column(1), inner):
-                part = batch.slice(a, b - a)
-                yield _rows(part, pieces, ranked, bytes_)
+        try:
+            for batch in batches:
+                for a, b in slices(batch.column(1), inner):
+                    yield _rows(batch.slice(a, b - a), pieces, ranked, bytes_)
+        finally:  # workers are used again, and the next task may need the memory
+            pieces.known.clear()
+            ranked.known.clear()
 
     def _rows(part, pieces, ranked, bytes_):
         texts = tokens.raw(part.column(1))

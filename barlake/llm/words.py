@@ -54,7 +54,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes, one longer row alone, so that scratch arrays stay small."""
     size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     begin, used = 0, 0
@@ -94,7 +94,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 1 << 21)
         _powers[:] = []
         for base in (_BASE, _INVERSE):
             steps = np.full(n, base, np.uint64)
