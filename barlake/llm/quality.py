@@ -175,7 +175,8 @@ def judged(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         reach = (high - low) * rules.fence * F.sqrt(F.greatest(F.lit(1.0), 200.0 / F.col("n_words")))
         outside &= (F.col(c) < low - reach) | (F.col(c) > high + 3 * reach)
     verdict = ~F.col("base_failed") & F.col("in_script_band") & ~F.coalesce(outside, F.lit(False))
-    rows = rows.join(quarters.where(F.col("_n") >= rules.least), "lang", "left")
+    bands = stored(quarters.where(F.col("_n") >= rules.least), "bands")  # of known size, so Spark sends small ones to the rows
+    rows = rows.join(bands, "lang", "left")
     return rows.withColumn("kept", verdict).drop("_n", "_piece_chars", "_byte_chars")
 
 
