@@ -8,7 +8,7 @@ from barlake.catalog import sqlparts
 from barlake.catalog.base import query
 from barlake.catalog.sqlparts import roll, windows
 from barlake.operators import features, indicators
-from barlake.operators.indicators import IndicatorConfig
+from barlake.operators.indicators import SENTENCES
 from barlake.operators.resample import resample, ticks_to_bars
 from barlake.plans.gold import gold
 from barlake.plans.series import series
@@ -98,7 +98,7 @@ def w_allind(t):
 
 @query("p_family", "symbol timestamp:t sma_8:6 rsi_14:6", f"SELECT *, {roll('avg', 'close', 8, 'sma_8')} FROM f1ind {windows()}", "f1ind")
 def p_family(t):
-    return indicators.indicators(t.f1, IndicatorConfig(sma_windows=(8,)), ["sma", "rsi"])
+    return indicators.indicators(t.f1, {"sma": (8,)}, ["sma", "rsi"])
 
 
 def _priced(t):
@@ -225,18 +225,19 @@ def o_gld(t):
     return gold(t.f1)
 
 
-SQL["described"] = """SELECT *, CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN 'insufficient data'
-       WHEN close > sma_20 AND sma_20 > sma_50 THEN 'Price is above SMA20 and SMA20 is above SMA50 (uptrend structure).'
-       WHEN close < sma_20 AND sma_20 < sma_50 THEN 'Price is below SMA20 and SMA20 is below SMA50 (downtrend structure).'
-       ELSE 'Moving averages are mixed; no dominant trend structure.' END AS trend,
-       CASE WHEN rsi_14 IS NULL THEN 'insufficient data'
-       WHEN rsi_14 >= 70 THEN printf('RSI is %.2f, in the historically elevated zone.', rsi_14)
-       WHEN rsi_14 <= 30 THEN printf('RSI is %.2f, in the historically depressed zone.', rsi_14)
-       ELSE printf('RSI is %.2f, in a mid-range zone.', rsi_14) END AS momentum,
-       CASE WHEN bb_upper IS NULL THEN 'insufficient data'
-       WHEN close > bb_upper THEN 'Close is above the upper Bollinger Band (expanded deviation).'
-       WHEN close < bb_lower THEN 'Close is below the lower Bollinger Band (expanded deviation).'
-       ELSE printf('Close is inside the Bollinger Band. Band width is %.2f.', bb_upper - bb_lower) END AS volatility
+_SAY = {name: f"'{text}'" for name, text in SENTENCES.items()}
+SQL["described"] = f"""SELECT *, CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN {_SAY['none']}
+       WHEN close > sma_20 AND sma_20 > sma_50 THEN {_SAY['up']}
+       WHEN close < sma_20 AND sma_20 < sma_50 THEN {_SAY['down']}
+       ELSE {_SAY['mixed']} END AS trend,
+       CASE WHEN rsi_14 IS NULL THEN {_SAY['none']}
+       WHEN rsi_14 >= 70 THEN printf({_SAY['elevated']}, rsi_14)
+       WHEN rsi_14 <= 30 THEN printf({_SAY['depressed']}, rsi_14)
+       ELSE printf({_SAY['middle']}, rsi_14) END AS momentum,
+       CASE WHEN bb_upper IS NULL THEN {_SAY['none']}
+       WHEN close > bb_upper THEN {_SAY['over']}
+       WHEN close < bb_lower THEN {_SAY['under']}
+       ELSE printf({_SAY['inside']}, bb_upper - bb_lower) END AS volatility
        FROM f1ind"""
 NEEDS["described"] = [*NEEDS["f1ind"], "f1ind"]
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.operators.indicators import add_rsi, halo, IndicatorConfig
+from barlake.operators.indicators import add_rsi, halo
 from barlake.plans.series import BLOCK, KEYS, POS, TOTAL, Blocks, scan, series
 
 
@@ -47,7 +47,7 @@ STRATEGIES: dict[str, Strategy] = {
         _crossover, lambda p: max(int(p.get("short_window", 20)), int(p.get("long_window", 50))) + 1
     ),
     "rsi_strategy": Strategy(
-        _rsi_threshold, lambda p: halo(IndicatorConfig(rsi_period=int(p.get("rsi_period", 14))), ["rsi"]), True
+        _rsi_threshold, lambda p: halo({"rsi": (int(p.get("rsi_period", 14)),)}, ["rsi"]), True
     ),
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +16,20 @@ from barlake.operators.features import (
     add_target_features,
     volatility_threshold,
 )
-from barlake.operators.indicators import IndicatorConfig, add_indicators, halo
+from barlake.operators.indicators import add_indicators, halo
 from barlake.plans.materialize import materialize
 from barlake.plans.series import HELPERS, TOTAL, series
 
 REQUIRED = {"symbol", "timestamp", "open", "high", "low", "close", "volume"}
 
 
-def gold_rows(bars: DataFrame, config: IndicatorConfig = IndicatorConfig(), **cut) -> DataFrame:
+def gold_rows(bars: DataFrame, lengths: Mapping[str, tuple] | None = None, **cut) -> DataFrame:
     """All columns that need only neighbouring bars: one shuffle by (symbol, block)."""
     missing = REQUIRED - set(bars.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    b = series(bars, before=max(halo(config), 51), after=1, **cut)
-    b = add_indicators(b, config)
+    b = series(bars, before=max(halo(lengths), 51), after=1, **cut)
+    b = add_indicators(b, lengths)
     b = add_price_features(b)
     b = add_target_features(b)
     return add_regime_inputs(b).core().df
@@ -35,7 +37,7 @@ def gold_rows(bars: DataFrame, config: IndicatorConfig = IndicatorConfig(), **cu
 
 def gold(
     bars: DataFrame,
-    config: IndicatorConfig = IndicatorConfig(),
+    lengths: Mapping[str, tuple] | None = None,
     macro: DataFrame | None = None,
     include_macro: bool = True,
     rows: DataFrame | None = None,
@@ -47,7 +49,7 @@ def gold(
     The regime threshold reads the volatility column twice; with `store` that column is written once
     (see `materialize`) instead of being computed again.
     """
-    rows = gold_rows(bars, config, **cut) if rows is None else rows
+    rows = gold_rows(bars, lengths, **cut) if rows is None else rows
     volatility = rows.select("symbol", "volatility_20d")
     out = add_regime(rows, volatility_threshold(materialize(volatility, "volatility") if store else volatility))
     if include_macro:

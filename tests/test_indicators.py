@@ -30,8 +30,7 @@ def test_window_must_be_positive(spark):
 
 
 def test_ema_leads_sma_in_a_step(spark):
-    config = ind.IndicatorConfig(sma_windows=(5,), ema_windows=(5,))
-    got = collect(ind.indicators(frame(spark, [10] * 10 + [20] * 10), config, ["sma", "ema"]), "timestamp")
+    got = collect(ind.indicators(frame(spark, [10] * 10 + [20] * 10), {"sma": (5,), "ema": (5,)}, ["sma", "ema"]), "timestamp")
     assert got["ema_5"][12] > got["sma_5"][12]
 
 
@@ -142,6 +141,11 @@ def test_window_one_is_the_series(spark):
     assert out["ema_1"].tolist() == [1.0, 5.0, 2.0, 4.0]
 
 
+def test_unknown_family_raises():
+    with pytest.raises(ValueError, match="unknown families"):
+        ind.halo({"wma": (5,)})
+
+
 def test_null_inside_a_series_raises(spark):
     with pytest.raises(Exception, match="null inside the series"):
         gap = frame(spark, [1, 2, 3, 4]).withColumn("close", F.when(F.col("close") != 3, F.col("close")))
