@@ -1,4 +1,4 @@
 """Named queries with their check SQL."""
 
-from barlake.catalog import bars, market, models, news, quality, readers, trading
+from barlake.catalog import bars, market, models, news, quality, readers, storage, trading
 from barlake.catalog.base import ORACLES, QUERIES

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.plans.views import Tables, with_views
+from barlake.session import checkpoint_dir
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +63,17 @@ def finish_sql(sql: str, spec: str, views: str = "") -> str:
     return f"WITH RECURSIVE {ctes}result AS ({sql}) SELECT {', '.join(out)} FROM result"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; only a local session may do without that setting."""
+    top = checkpoint_dir(spark)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="barlake-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query(key: str, spec: str, sql: str | None = None, views: str = ""):
     """Register the decorated `f(tables)` under `key`."""
 

@@ -245,9 +245,13 @@ def markers(run: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def metrics(
-    run: DataFrame, initial_capital: float = 10_000.0, periods_per_year: float = 252.0, keys: Sequence[str] = KEYS
+    run: DataFrame,
+    initial_capital: float = 10_000.0,
+    periods_per_year: float = 252.0,
+    keys: Sequence[str] = KEYS,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Return, Sharpe, drawdown and trade statistics: one combinable aggregate."""
+    """Return, Sharpe, drawdown and trade statistics: one combinable aggregate. `also` adds aggregates by name."""
     pnl = F.col("trade.pnl")
     won, lost = F.sum(F.when(pnl > 0, pnl)), F.sum(F.when(pnl < 0, -pnl))
     out = run.groupBy(*keys).agg(
@@ -259,6 +263,7 @@ def metrics(
         F.count_if(pnl > 0).alias("_wins"),
         F.coalesce(won, F.lit(0.0)).alias("_won"),
         F.coalesce(lost, F.lit(0.0)).alias("_lost"),
+        *[c.alias(name) for name, c in (also or {}).items()],
     )
     sharpe = F.when(F.col("_std") > 0, F.sqrt(F.lit(float(periods_per_year))) * F.col("_mean") / F.col("_std"))
     factor = (
@@ -273,6 +278,7 @@ def metrics(
         "maximum_drawdown",
         "number_of_trades",
         factor.alias("profit_factor"),
+        *(also or {}),
     )
 
 

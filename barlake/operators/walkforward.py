@@ -109,14 +109,17 @@ def walk_forward(
 ) -> DataFrame:
     """One row per window: ranges, bars, train return, test metrics, pass flag and error text."""
     costs = dict(initial_capital=initial_capital, transaction_fee=transaction_fee, slippage=slippage)
-    w = slice_counts(bars, plan)
+    w = windows(bars, plan)
     upto = Window.partitionBy("symbol").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
     full = backtest(bars, strategy, params, **costs, **cut)
-    steps = _prefix(full, bars, plan, F.max_by("equity", "bar_no").alias("_equity"))
+    # A backtest has a row per bar, so the bars of both slices are counted in the aggregates that are needed anyway.
+    count = F.count(F.lit(1))
+    steps = _prefix(full, bars, plan, F.max_by("equity", "bar_no").alias("_equity"), count.alias("_n"))
     keys = ("symbol", "window_id")
-    sliced = backtest(test_slices(bars, windows(bars, plan), plan), strategy, params, keys=keys, **costs, **cut)
-    tested = metrics(sliced, initial_capital, keys=keys).select(
+    sliced = backtest(test_slices(bars, w, plan), strategy, params, keys=keys, **costs, **cut)
+    tested = metrics(sliced, initial_capital, keys=keys, also={"test_bars": count}).select(
         *keys,
+        "test_bars",
         F.col("total_return").alias("test_return"),
         F.col("sharpe_ratio").alias("test_sharpe"),
         F.col("maximum_drawdown").alias("test_max_drawdown"),
@@ -125,8 +128,10 @@ def walk_forward(
     )
     out = w.join(steps, [*keys], "left").join(tested, [*keys], "left")
     equity = F.last("_equity", True).over(upto)
+    train_bars = F.sum(F.coalesce("_n", F.lit(0))).over(upto)
+    out = out.withColumns({"_equity": equity, "train_bars": train_bars, "test_bars": F.coalesce("test_bars", F.lit(0))})
     passed = (F.col("train_bars") >= plan.min_train_bars) & (F.col("test_bars") >= plan.min_test_bars)
-    out = out.withColumns({"train_return": equity / float(initial_capital) - 1, "passed": passed}).drop("_equity")
+    out = out.withColumns({"train_return": F.col("_equity") / float(initial_capital) - 1, "passed": passed}).drop("_equity", "_n")
     measured = ["train_return", *[c for c in out.columns if c.startswith("test_") and c not in ("test_start", "test_end", "test_bars")]]
     out = out.withColumns({c: F.when(F.col("passed"), F.col(c)) for c in measured})
     return out.withColumn("error", F.when(~F.col("passed"), "Insufficient bars in window"))

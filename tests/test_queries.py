@@ -13,7 +13,8 @@ DIR = "/root/testdata/sf0.001"
 PICKED = [
     "a_resample", "w_allind", "w_regime", "o_gld", "j_macro", "w_corr", "p_quar", "o_brz_slv", "a_qual", "w_tail", "o_asof",
     "b_port", "a_btmet", "b_wf", "a_wfsum", "f_sent", "a_sentsum", "a_topk", "w_cumvol", "a_breadth", "o_rowjson", "o_htmlprice",
-    "m_split", "a_fcmet", "f_bday",
+    "m_split", "a_fcmet", "f_bday", "o_ingest", "o_lineage", "o_slv_wr", "o_tblrw", "o_csvout", "o_kafka_out", "o_topics",
+    "st_loop", "st_idemp", "st_tumble", "st_alert", "st_enrich", "st_hwm",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
