@@ -46,6 +46,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int, bool]] = []
         self.open: list[tuple[str, bool, bool]] = []
+        # Places in `open` of each tag's open elements, and of the open blocks.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.bad = self.depth = self.regions = self.region = self.tags = 0
         self.held: list[str] = []
         self.heading = False
@@ -79,26 +82,31 @@ class Lines(HTMLParser):
                 self.region = self.regions
             self.depth += 1
         self.bad += noisy
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, noisy, marks))
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.heading = True
 
     def _pop(self):
         tag, noisy, marks = self.open.pop()
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
         self.bad -= noisy
         self.depth -= marks
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.heading = False
 
+    def _pop_to(self, place):
+        while len(self.open) > place:
+            self._pop()
+
     def _close_paragraph(self):
         """A block start closes an open paragraph with the inline elements left open in it."""
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 32), -1):
-            if self.open[k][0] == "p":
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if self.open[k][0] in BLOCKS:
-                return
+        if self.blocks and self.open[self.blocks[-1]][0] == "p":
+            self._pop_to(self.blocks[-1])
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -109,12 +117,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        low = max(-1, len(self.open) - 512)
-        for k in range(len(self.open) - 1, low, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
+        if self.places.get(tag):
+            self._pop_to(self.places[tag][-1])
 
     def handle_data(self, data):
         self.held.append(data)

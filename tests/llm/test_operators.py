@@ -150,6 +150,15 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [31, 600, 20_000])
+def test_main_text_deep(n):
+    """End tags and block starts find the element they close below any number of unclosed inline elements."""
+    kept = "<article><p>One long enough paragraph of words.</p></article>"
+    for junk in (f"<nav>{'<font>x' * n}</nav>", f"<p class=promo>{'<i>x' * n}<div></div>", f"<div class=sidebar>{'<span><b>' * n}x</div>"):
+        assert html.main_text("<body>" + junk + kept) == "One long enough paragraph of words."
+    assert html.main_text(f"<p class=promo>{'<i>x' * n}<p>Another long enough paragraph.") == "Another long enough paragraph."
+
+
 def contamination(items, bench):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     tests = [(str(k), word.findall(lower(t))) for k, t in bench]
