@@ -5,9 +5,10 @@ Four kinds of spans, in code points with exclusive ends:
     assign  a key name, a separator and a value of 6 or more characters
     access  AKIA and 16 or more capitals or digits
     hex     24 or more lowercase hexadecimal digits
-    random  a run of 16 or more of `[A-Za-z0-9+/_=-]` with letters and digits whose characters per token under a
-            byte-level vocabulary are few; runs that are known digests (hexadecimal of a digest's length), UUIDs,
-            dates, paths, or plain words with numbers at an end are identifiers and not tested
+    random  a run of 16 or more of `[A-Za-z0-9+/_=-]` with letters whose characters per token under a byte-level
+            vocabulary are few; known digests (hexadecimal of a digest's length), UUIDs and dates are not tested.
+            Runs without a digit, paths, and words with numbers at an end are measured by their parts of three or
+            more letters, so that separators and numbers do not make words look random
 
 The first three find leftmost matches that do not overlap within a kind; matches that are too short are dropped and
 do not make room for others inside them.
@@ -33,15 +34,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Digests in hexadecimal (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), UUIDs, time stamps, words and paths with numbers.
+#: Digests in hexadecimal (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), UUIDs, time stamps.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     r"|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})"
     r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
     r"|[0-9][0-9T_-]*"
-    r"|(?:[/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_=-]*"
+)
+#: Words and paths with numbers.
+WORDS = re.compile(
+    r"(?:[/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_=-]*"
     r"|[A-Za-z]+[0-9]+"
 )
+PART = re.compile(r"[A-Za-z]{3,}")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 _TYPES = [pa.int64()] * 5 + [pa.string()] * 2
@@ -63,9 +68,12 @@ def random_spans(text: str, encode, most: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or KNOWN.fullmatch(run):
+        if not any(c.isalpha() for c in run) or KNOWN.fullmatch(run):
             continue
-        if len(run) < most * len(encode(run)):
+        tested = [run]
+        if (words := WORDS.fullmatch(run)) or not any(c.isdigit() for c in run):
+            tested = PART.findall(run) or ([] if words else tested)
+        if sum(map(len, tested)) < most * sum(len(encode(t)) for t in tested):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -134,6 +134,21 @@ def test_secrets(spark, docs, empty):
     assert secrets.secrets(empty).count() == 0
 
 
+def test_secrets_without_digits():
+    """Random letters are found with and without digits and separators; words, names and paths are not."""
+    encode = tokens.rank_encoding(tokens.vocabulary("byte_bpe_50k.tiktoken")).encode_ordinary
+    random_ones = ["xkqzvbwjpfhgmtyd", "qWzXkPvJbRtLmYhNcGsF", "kqxz-jvbw-pfhg-mtyd", "zQ+xK/vJ=bW_pF-hG+mT/yD=", "xkqzvbwjpfhgmtyd7", "XKQZ_VBWJ_PFHG_MTYD"]
+    named = [
+        "internationalization", "getElementByIdAndName", "MAX_BUFFER_SIZE_LIMIT", "src/main/resources/config", "well-known-and-often-used", "development-server-2024",
+        "====================", "----------------", "aa-bb-cc-dd-ee-ff", "a/b/c/d/e/f/g/h/i", "documentation12345", "2024-01-02T10-11-12",
+    ]
+    assert [secrets.random_spans(f"({t})", encode, 2.0) for t in random_ones] == [[(1, 3, 1 + len(t))] for t in random_ones]
+    assert [t for t in named if secrets.random_spans(t, encode, 2.0)] == []
+    r = random.Random(1)
+    found = lambda letters, n: sum(bool(secrets.random_spans("".join(r.choices(letters, k=n)), encode, 2.0)) for _ in range(1000))
+    assert found("abcdefghijklmnopqrstuvwxyz", 16) > 850 and found("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20) > 990
+
+
 def test_main_text(spark):
     page = (
         "<!doctype html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class='cookie-banner'>We use cookies</div>"
