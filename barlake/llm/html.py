@@ -5,14 +5,15 @@ is a run of text between block tags, with the number of tags seen since the line
 inside elements that never hold an article's text (menus, headers and footers of the page, sidebars, notices,
 adverts, forms, scripts, styles, comments) are boilerplate whatever their ratio. The ratios of the other lines are
 smoothed with a Gaussian kernel and split at a threshold of the page's own spread; runs of lines above the threshold
-are content regions. Where the page marks an article, its heading and short paragraphs inside the marked region are
-kept, as lines between content lines of one region belong to it.
+are content regions. Where the page marks an article, only lines inside it count, and the marks decide about its low
+lines (see `_marked`): headings, paragraphs and plain lines between content lines stay, links and runs of tags go.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,29 +37,52 @@ NOISE = re.compile(
     r"comments?|disqus|replies|respond|login|signup|search\w*|toolbar|pagination|pager|skip-link|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Blocks that hold prose: their short lines are part of a marked article.
+PROSE = frozenset("article blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li main p pre td th".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SPACES = re.compile(r"\s+")
 
 
+@dataclass
+class Line:
+    """A run of text: tags since the line before, boilerplate or not, number of its article or main region (0: none).
+
+    `block` is the innermost open block, `linked` the share of its characters inside links, `inline` the inline tags in it.
+    """
+
+    text: str
+    tags: int
+    bad: bool
+    region: int
+    block: str
+    linked: float
+    inline: int
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tags before it, whether it is inside boilerplate, and the number of its article or main region (0: none)."""
+    """Lines of a page from the parser's events."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, bool]] = []
+        self.lines: list[Line] = []
         self.open: list[tuple[str, bool, bool]] = []
         # Places in `open` of each tag's open elements, and of the open blocks.
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.bad = self.depth = self.regions = self.region = self.tags = 0
         self.held: list[str] = []
-        self.heading = False
+        self.linked = self.inline = 0
+        self.link = False
 
     def cut(self):
         text = SPACES.sub(" ", "".join(self.held)).strip()
         self.held = []
         if text:
-            self.lines.append((text, self.tags, self.bad > 0, self.region if self.depth else 0, self.heading))
+            block = self.open[self.blocks[-1]][0] if self.blocks else ""
+            linked = self.linked / len(SPACES.sub("", text)) if self.linked else 0.0
+            self.lines.append(Line(text, self.tags, self.bad > 0, self.region if self.depth else 0, block, linked, self.inline))
             self.tags = 0
+        self.linked = self.inline = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -66,6 +90,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
+        if tag not in BLOCKS:
+            self.inline += 1
         if tag in ENDS_P:
             self._close_paragraph()
         elif tag in ("li", "td", "th", "tr", "option", "dt", "dd") and self.open and self.open[-1][0] == tag:
@@ -86,8 +112,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.blocks.append(len(self.open))
         self.open.append((tag, noisy, marks))
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.heading = True
+        if tag == "a":
+            self.link = any(name == "href" for name, _ in attrs)
 
     def _pop(self):
         tag, noisy, marks = self.open.pop()
@@ -96,8 +122,8 @@ class Lines(HTMLParser):
             self.blocks.pop()
         self.bad -= noisy
         self.depth -= marks
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.heading = False
+        if tag == "a":
+            self.link = False
 
     def _pop_to(self, place):
         while len(self.open) > place:
@@ -116,15 +142,19 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.cut()
+        else:
+            self.inline += 1
         self.tags += 1
         if self.places.get(tag):
             self._pop_to(self.places[tag][-1])
 
     def handle_data(self, data):
         self.held.append(data)
+        if self.link:
+            self.linked += len(SPACES.sub("", data))
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
+def page_lines(html: str) -> list[Line]:
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -140,25 +170,54 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / weight
 
 
+def _marked(lines: list[Line], above: np.ndarray, own: np.ndarray) -> list[bool]:
+    """Which lines of one marked region stay; none where no line is content.
+
+    A line mostly of links, or outside prose with more inline tags than words, must reach the threshold by its `own`
+    ratio, as smoothing lifts it beside a long paragraph. The other lines are content if they are `above`. Of those that
+    are not, lines of prose blocks stay, and others between content lines. A heading goes with what it heads: it is
+    dropped if it leads two or more dropped lines or none but dropped ones, or is a link that leads no kept text; the
+    page's own heading (h1) stays.
+    """
+    heads = [line.block in HEADINGS for line in lines]
+    loose = [not head and (line.linked > 0.5 or line.block not in PROSE and line.inline > len(line.text.split())) for head, line in zip(heads, lines)]
+    content = [bool(o if l else a) for a, o, l in zip(above, own, loose)]
+    body = [k for k, c in enumerate(content) if c and not heads[k]]
+    if not body:
+        return content
+    first, last = body[0], body[-1]
+    keep = [c or not l and (line.block in PROSE or first < k < last) for k, (c, l, line) in enumerate(zip(content, loose, lines))]
+    dropped = 0
+    for k in range(len(lines) - 1, -1, -1):
+        if heads[k]:
+            follows = k + dropped + 1 < len(lines)
+            keep[k] = lines[k].block == "h1" or not dropped or dropped == 1 and follows
+            if lines[k].block != "h1" and lines[k].linked > 0.5:
+                keep[k] = follows and not dropped and not heads[k + 1]
+        dropped = 0 if keep[k] else dropped + 1
+    return keep
+
+
 def main_text(html: str, sigma: float = 1.0, share: float = 0.25) -> str:
     """Content lines in page order, joined by one newline.
 
     The threshold is `share` of the smoothed ratios' standard deviation (of their mean where all are alike).
     """
-    lines = page_lines(html)
-    fair = [k for k, (_, _, bad, _, _) in enumerate(lines) if not bad]
-    if not fair:
+    lines = [line for line in page_lines(html) if not line.bad]
+    if any(line.region for line in lines):
+        lines = [line for line in lines if line.region]
+    if not lines:
         return ""
-    if len({lines[k][3] for k in fair} - {0}):
-        fair = [k for k in fair if lines[k][3]]
-    ratio = np.array([len(lines[k][0]) / max(1, lines[k][1]) for k in fair])
+    ratio = np.array([len(line.text) / max(1, line.tags) for line in lines])
     level = smooth(ratio, sigma)
     spread = level.std()
-    above = level >= (share * spread if spread > 0 else 0.0)
-    regions = np.array([lines[k][3] for k in fair])
-    for region in np.unique(regions[above & (regions > 0)]):
-        above |= regions == region
-    return "\n".join(lines[k][0] for k, keep in zip(fair, above) if keep)
+    least = share * spread if spread > 0 else 0.0
+    above, own = level >= least, ratio >= least
+    if lines[0].region:
+        regions = np.array([line.region for line in lines])
+        cuts = [0, *(np.flatnonzero(np.diff(regions)) + 1), len(lines)]
+        above = [keep for a, b in zip(cuts, cuts[1:]) for keep in _marked(lines[a:b], above[a:b], own[a:b])]
+    return "\n".join(line.text for line, keep in zip(lines, above) if keep)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

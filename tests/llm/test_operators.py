@@ -165,6 +165,22 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_inside_article():
+    """Ratios and threshold decide inside a marked region: link lists and share rows go, headings and short paragraphs stay."""
+    long = [" ".join(prose(k, 60).split()) for k in range(4)]
+    links = "<div class=teaser>" + "".join(f"<div><a href=/{k}>Story number {k}</a></div>" for k in range(6)) + "</div>"
+    items = "<ul>" + "".join(f"<li><a href=/{k}><span>Topic {k}</span></a>" for k in range(6)) + "</ul>"
+    share = "<div class=tools><span><i></i>Send</span><span><i></i>Print</span><span><i></i>Save</span></div>"
+    page = (
+        f"<body><article><header><h1>Title</h1><div><a href=/by>By A. B.</a></div></header>{share}<p>{long[0]}</p>{links}<p>{long[1]}</p><h2>Part</h2><p>Yes.</p><p>No.</p><p>So?</p>"
+        f"<ul><li>salt<li>oil<li>rice</ul><div>{long[2]}</div><div>Short.</div><div>{long[3]} <a href=/s>source</a></div>{items}<h3>Read also</h3>{links}<p>The end.</p><p>A. B.</p>{share}</article></body>"
+    )
+    want = ["Title", long[0], long[1], "Part", "Yes.", "No.", "So?", "salt", "oil", "rice", long[2], "Short.", long[3] + " source", "The end.", "A. B."]
+    assert html.main_text(page).split("\n") == want
+    # a threshold that all lines reach keeps all
+    assert "Story number 3" in html.main_text(page, share=0.0) and "SendPrintSave" in html.main_text(page, share=0.0)
+
+
 @pytest.mark.parametrize("n", [31, 600, 20_000])
 def test_main_text_deep(n):
     """End tags and block starts find the element they close below any number of unclosed inline elements."""
