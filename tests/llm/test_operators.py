@@ -285,6 +285,37 @@ def test_language(spark, docs, empty):
     assert (masks & np.uint64(1)).mean() > 0.9
 
 
+def test_language_large_alphabet(spark, monkeypatch):
+    """A language with more trigrams than the fewest slots hold well is found by a larger filter, and by a join alike."""
+    monkeypatch.setattr(language, "SLOTS", 1 << 13)
+    r = random.Random(4)
+    han, latin = [chr(0x4E00 + i) for i in range(3000)], "abdegilmnorst"
+    make = lambda k: "".join(r.choice(han) for _ in range(4000)) if k == "zh" else " ".join("".join(r.choice(latin) for _ in range(5)) for _ in range(60))
+    items = [(i, make(k), k) for i, k in enumerate(["zh", "aa"] * 20)]
+    # held-out Han texts repeat parts of the ones that are learned
+    items += [(100 + i, items[2 * i][1][500:900], None) for i in range(10)] + [(200, None, None), (None, "12 3", None), (200, "a b", None), (201, items[1][1], None), (201, items[0][1], None)]
+    df = spark.createDataFrame(items, "doc_id long, text string, lang string").repartition(3)
+    model = language.train(df)
+    names = ("doc_id", "lang_pred")
+    want = sorted([(i, k) for i, _, k in items[:40]] + [(100 + i, "zh") for i in range(10)] + [(None, "und"), (200, "und"), (200, "aa"), (201, "aa"), (201, "zh")], key=repr)
+    assert len(model.masks) > 1 << 13 and model.false.max() <= language.FALSE
+    got = language.identify(df, model)
+    monkeypatch.setattr(language, "BROADCAST_BYTES", 1)
+    table = language.train(df)
+    assert isinstance(table, language.Table)
+    joined = language.identify(df, table)
+    assert joined.schema == got.schema
+    found = {n: [x for x in rows(t, *names) if x != (200, "zh") and x != (200, "aa")] for n, t in (("filter", got), ("join", joined))}
+    assert found["filter"] == found["join"] == [x for x in want if x != (200, "aa")]
+    # the join's hits are plain counts
+    counts = {(x["gram"], x["lang"]) for x in table.chosen.collect()}
+    g = language.grams([items[1][1]])
+    n = {k: sum((int(c), k) in counts for c in g.codes[g.which].astype("int64")) for k in ("aa", "zh")}
+    score = [x["score"] for x in joined.where("doc_id = 1").collect()]
+    assert score == [n["aa"] / (n["aa"] + n["zh"])]
+    assert language.identify(df.limit(0), table).count() == 0
+
+
 def test_rollups(spark, docs, empty):
     versions = {"w": tokens.vocabulary("word_bpe_49k.json"), "b": tokens.vocabulary("byte_bpe_50k.tiktoken")}
     counts = rollups.count_tokens(docs, versions).cache()
