@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.llm.common import columns, stored
 from barlake.llm.components import components
@@ -289,10 +290,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
 
 
+def _keys(docs: DataFrame) -> DataFrame | None:
+    """A key of its own (_key) for each further text of a doc_id that stands for several: doc_id, _f, _g, _key. None if there is none.
+
+    `docs` has doc_id and the text's hashes _f and _g. The first text of an id is known by the id.
+    """
+    text = F.struct("_f", "_g")
+    several = docs.groupBy("doc_id").agg(F.min(text).alias("_first"), F.max(text).alias("_last")).where("_first <> _last").select("doc_id", "_first")
+    several = stored(several, "reused")
+    if several.isEmpty():
+        return None
+    further = docs.join(several, "doc_id").where(text != F.col("_first")).select("doc_id", "_f", "_g").distinct()
+    ids = docs.select(F.col("doc_id").alias("_key"))
+    salt = 0
+    while True:
+        keys = stored(further.withColumn("_key", F.xxhash64("doc_id", "_f", "_g", F.lit(salt))), "keys")
+        repeated = keys.groupBy("_key").count().where("count > 1")
+        if repeated.isEmpty() and keys.join(ids, "_key", "left_semi").isEmpty():
+            return keys
+        salt += 1
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.MapType)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, once; rows without doc_id stay."""
-    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the smallest doc_id of each component, once; rows without doc_id stay.
+
+    A document is a doc_id and a text: different texts under one doc_id are linked only by their shingles. Of rows with
+    equal doc_id and text the one with the smallest other columns stays.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    kept = named.select("doc_id", whole).groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    text = F.coalesce("text", F.lit(""))
+    named = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64(text).alias("_f"), F.xxhash64(F.lit(1), text).alias("_g"), whole)
+    keys = _keys(named.select("doc_id", "_f", "_g"))
+    if keys is None:
+        named = named.withColumn("_key", F.col("doc_id"))
+        first = near_duplicates(named.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    else:
+        named = named.join(keys, ["doc_id", "_f", "_g"], "left").withColumn("_key", F.coalesce("_key", "doc_id"))
+        found = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+        found = found.join(keys, "_key", "left").withColumn("_id", F.coalesce("doc_id", "_key"))
+        best = F.min(F.struct("_id", F.col("doc_id").isNotNull().alias("_further"), "_f", "_g", "_key")).alias("_best")
+        first = found.groupBy("component_id").agg(best).select("_best._key")
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    order = [F.col(f"_row.`{f.name}`") if _orderable(f.dataType) else F.to_json(F.struct(F.col(f"_row.`{f.name}`"))) for f in others]
+    order = F.struct(F.col("text").isNotNull().alias("_some"), *[c.alias(f"_{k}") for k, c in enumerate(order)])
+    kept = named.join(first, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -91,6 +91,23 @@ def test_jaccard_join(docs, empty):
     assert rows(kept, "doc_id") == sorted([(k,) for k, v in label.items() if k == v] + [(None,), (None,)], key=repr)
 
 
+def test_one_of_each_reused_ids(spark):
+    """Unrelated texts under one doc_id all stay; each goes only with texts that its own shingles link."""
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    tail = lambda t, k: t + f" tail{k}"
+    items = [(5, a), (5, b), (5, b), (5, tail(a, 1)), (7, tail(b, 2)), (3, tail(c, 3)), (9, c), (9, tail(b, 4)), (4, ""), (4, None), (4, c), (None, a)]
+    df = spark.createDataFrame([(i, t, {"k": str(n)}, n) for n, (i, t) in enumerate(items)], "doc_id long, text string, extra map<string,string>, n int").repartition(3)
+    got = jaccard_join.one_of_each(df)
+    assert got.schema == df.schema
+    found = rows(got, "doc_id", "text", "n")
+    assert {(i, t or "") for i, t, _ in found} >= {(5, b), (3, tail(c, 3)), (4, ""), (None, a)}
+    # one of the two texts of 5 that are near each other, and nothing else
+    assert len(found) == 5 and sum(i == 5 and t in (a, tail(a, 1)) for i, t, _ in found) == 1
+    assert all(r["extra"] == {"k": str(r["n"])} for r in got.collect()) and (5, b, 1) in found
+    unique = spark.createDataFrame([(i, t, {"k": "v"}) for i, t in enumerate((a, b, tail(a, 1)))], "doc_id long, text string, extra map<string,string>")
+    assert rows(jaccard_join.one_of_each(unique), "doc_id", "extra") == [(0, {"k": "v"}), (1, {"k": "v"})]
+
+
 def test_jaccard_join_hot_groups(spark):
     """Chains and near copies around the threshold, over several chunks and hash ranges."""
     r = random.Random(5)
