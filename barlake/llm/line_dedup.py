@@ -32,12 +32,12 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, _key and the starts of all later occurrences in each document that has any."""
+    """doc_id, _key and the starts of all later occurrences in each document that has any, each start once however many copies."""
     windows = _windows(docs)
     place = F.struct("doc_id", "_key", "_at")
     repeated = windows.groupBy("_h", "_g").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n")
     later = windows.join(repeated, ["_h", "_g"]).where(place > F.col("_first"))
-    return later.groupBy("doc_id", "_key").agg(F.collect_list("_at").alias("_starts"))
+    return later.groupBy("doc_id", "_key").agg(F.collect_set("_at").alias("_starts"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -1,16 +1,20 @@
 """Best-fit packing into sequences of a fixed number of tokens, with a certificate per partition.
 
-Pieces are spread over partitions by a hash. Each partition packs its pieces best-fit decreasing and computes a
+Pieces are spread over partitions by a hash of their place in the stored table, so rows without doc_id or with one
+repeated doc_id spread too. Each partition packs its pieces best-fit decreasing and computes a
 lower bound on its sequences from dual-feasible functions. A partition that meets its bound is certified and keeps
-all sequences. Others keep their full sequences and give the pieces of the rest to the next round, where pieces of
-different partitions meet in fewer, newly dealt partitions and are packed again. Each round is a stored table of
-lengths and keys only; texts are read once.
+all sequences but the emptiest. Others keep their full sequences. The pieces of the rest go to the next round, where
+pieces of different partitions meet in fewer, newly dealt partitions of bounded size and are packed again, until one
+partition holds the rest or a round needs no fewer sequences than the one before; that round is discarded. Each round is
+a stored table of lengths and keys only; texts are read once. Each row has the gap of its partition: sequences beyond
+its lower bound, 0 if certified.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,15 @@ from barlake.llm.common import columns, stored
 
 PIECES_PER_TASK = 200_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A number of its own for each row of the stored pieces.
+PLACED = PIECE + ", place long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece of every document; null text counts as empty, so each document has at least one piece."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 33
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), tokens.raw(batch.column(1))
             out = [[], [], [], [], []]
@@ -40,9 +47,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
                         for column, value in zip(out, (key, k, at, len(part), zlib.crc32(part.tobytes()))):
                             column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            places = pa.array(np.arange(place, place + len(out[0])))
+            place += len(out[0])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(out, kinds)], places], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
-    return columns(docs, "doc_id", "text").mapInArrow(rows, PIECE)
+    return columns(docs, "doc_id", "text").mapInArrow(rows, PLACED)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -95,7 +104,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return bins, offsets, fill
 
 
-PACKED = PIECE + ", sequence_id long, offset long, kept boolean, gap long"
+PACKED = PLACED + ", sequence_id long, offset long, kept boolean, gap long"
 
 
 def _round(items: DataFrame, tasks: int, capacity: int, number: int, last: bool) -> DataFrame:
@@ -106,37 +115,40 @@ def _round(items: DataFrame, tasks: int, capacity: int, number: int, last: bool)
         lengths = table["length"].to_pylist()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        keep = np.array(fill) == capacity if gap and not last else np.ones(len(fill), bool)
+        keep = np.ones(len(fill), bool)
+        if not last:
+            keep = np.array(fill) == capacity if gap else keep
+            keep[int(np.argmin(fill))] &= min(fill) == capacity
         own = np.array(bins, np.int64)
         top = (number << 56) | (TaskContext.get().partitionId() << 32)
         table = table.append_column("sequence_id", pa.array(own + top)).append_column("offset", pa.array(offsets, pa.int64()))
         table = table.append_column("kept", pa.array(keep[own])).append_column("gap", pa.array(np.full(len(own), gap, np.int64)))
         yield from table.to_batches()
 
-    order = [F.desc("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    dealt = items.repartition(tasks, F.xxhash64("doc_id", "piece", F.lit(number))).sortWithinPartitions(*order)
+    order = [F.desc("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("place")]
+    dealt = items.repartition(tasks, F.xxhash64("place", F.lit(number))).sortWithinPartitions(*order)
     return stored(dealt.mapInArrow(rows, PACKED), "packed")
 
 
-def pack(items: DataFrame, capacity: int = 2048, rounds: int = 4) -> DataFrame:
-    """Sequences for pieces of at most `capacity` tokens: the columns of `items` with sequence_id and offset.
+def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
+    """Sequences for stored pieces of at most `capacity` tokens: their columns with sequence_id, offset and gap, without place.
 
-    Rows are packed as they are, repeated ones too. A round that finds no gap ends the work.
+    Rows are packed as they are, repeated ones too.
     """
-    count = items.count()
-    tasks = max(1, -(-count // PIECES_PER_TASK))
-    done = None
-    for number in range(rounds):
-        last = number == rounds - 1 or tasks == 1 and number > 0
-        packed = _round(items, tasks, capacity, number, last)
-        kept = packed.where("kept").drop("kept", "gap")
-        done = kept if done is None else done.unionByName(kept)
-        left = packed.where("not kept")
-        count = left.count()
-        if not count:
+    tasks = max(1, -(-items.count() // PIECES_PER_TASK))
+    done, rest, bins, number = [], None, None, 0
+    while True:
+        packed = _round(items, tasks, capacity, number, tasks == 1)
+        if rest is not None and packed.select("sequence_id").distinct().count() >= bins:
             break
-        items, tasks = left.drop("sequence_id", "offset", "kept", "gap"), max(1, min(tasks // 2, -(-count // PIECES_PER_TASK)))
-    return done
+        done.append(packed.where("kept"))
+        rest = packed.where("not kept")
+        count, bins = rest.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        if tasks == 1 or not count:
+            break
+        items, number = rest.drop("sequence_id", "offset", "kept", "gap"), number + 1
+        tasks = -(-count // PIECES_PER_TASK)
+    return reduce(DataFrame.unionByName, [*done, rest]).drop("kept", "place")
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -284,6 +284,14 @@ def test_line_dedup(spark, docs, empty):
     assert text[1] == "" and text[18] == "a\nb\nc\nd" and text[19] == "e" and text[20] == "\n\n\n\n"
 
 
+def test_line_dedup_copies(spark):
+    """The starts kept for a document do not grow with its copies."""
+    items = [(1, "a\nb\nc\nd\ne")] + [(2, "x\na\nb\nc\nd\ne")] * 50
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    assert [sorted(r["_starts"]) for r in line_dedup.covered_lines(df).collect()] == [[1, 2, 3]]
+    assert rows(line_dedup.line_dedup(df), "doc_id", "text", "n_removed") == [(1, items[0][1], 0)] + [(2, "x", 5)] * 50
+
+
 def test_language(spark, docs, empty):
     langs = {"aa": "bado gami", "bb": "trel skon", "cc": "ñuée çoà"}
     r = random.Random(3)
@@ -427,6 +435,22 @@ def test_packing(spark, docs, empty, monkeypatch):
     assert packing.packed_documents(empty, vocabulary).count() == 0
 
 
+def test_packing_repeated_ids(spark, monkeypatch):
+    """Rows without doc_id, or with one repeated, are dealt to all tasks, and each partition's gap is shown."""
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 50)
+    dealt, capacity = [], 64
+    real = packing._round
+    monkeypatch.setattr(packing, "_round", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    items = [(None if i % 2 else 7, prose(i % 5, 4 + i % 9)) for i in range(600)]
+    got = packing.packed_documents(spark.createDataFrame(items, "doc_id long, text string").repartition(3), tokens.vocabulary("word_bpe_49k.json"), capacity)
+    made = got.collect()
+    spread = [r["count"] for r in dealt[0].groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()]
+    assert len(spread) == -(-len(made) // 50) and max(spread) < 100
+    assert len(made) == dealt[0].count() and min(r["gap"] for r in made) >= 0
+    # later rounds never need more sequences than the first
+    assert len({r["sequence_id"] for r in made}) <= dealt[0].select("sequence_id").distinct().count()
+
+
 @pytest.mark.parametrize("lengths", [[6, 6, 6], [5, 5, 5], [7, 4, 3, 3], [4] * 9, [10], []])
 def test_bounds(lengths):
     """No packing of a few items beats the bound, and best-fit decreasing needs no fewer bins."""
