@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontaminate, html, jaccard_join, language, line_dedup, packing, quality, rollups, secrets, token_files
+from barlake.llm import decontaminate, html, jaccard_join, language, line_dedup, negatives, packing, quality, rollups, secrets, token_files, topk
 from barlake.llm.common import read, shared_folder, stored
 from barlake.llm.tokens import vocabulary
 
@@ -71,10 +71,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_jaccard_join, op2_secrets, op3_main_text, op4_contamination, op5_quality, op6_line_dedup, op7_language, op8_token_rollup, op9_token_files, op10_packing
+        op1_jaccard_join, op2_secrets, op3_main_text, op4_contamination, op5_quality, op6_line_dedup, op7_language, op8_token_rollup, op9_token_files, op10_packing,
+        op11_hard_negatives, op12_top_k,
     )
 }
-ORACLES = {"op6_line_dedup": line_dedup.SQL}
+ORACLES = {"op6_line_dedup": line_dedup.SQL, "op11_hard_negatives": negatives.SQL, "op12_top_k": topk.SQL}
