@@ -118,10 +118,8 @@ def _positives(head: dict, found: Iterator[dict], k: int) -> Iterator[pa.RecordB
         bucket = Bucket(row)
 
         def offer(part, rows, score, fresh):
-            ok = fresh & (score >= best.least()[part][:, None]) & (bucket.labels[rows][None, :] == anchors.labels[part][:, None])
-            ok &= bucket.ids[rows][None, :] != anchors.ids[part][:, None]
-            a, c = np.nonzero(ok)
-            best.add(part[a], score[a, c], bucket.ids[rows[c]])
+            ok = fresh & (bucket.labels[rows][None, :] == anchors.labels[part][:, None]) & (bucket.ids[rows][None, :] != anchors.ids[part][:, None])
+            best.offer(part, score, ok, bucket.ids[rows])
 
         search_bucket(anchors, bucket, best.least, offer)
     window, score, ids = best.found()
@@ -159,8 +157,8 @@ def _negatives(head: dict, found: Iterator[dict], k: int, low: int, high: int) -
             fresh = fresh & (bucket.labels[rows][None, :] != anchors.labels[part][:, None]) & (bucket.ids[rows][None, :] != anchors.ids[part][:, None])
             need = wanted()[part]
             for w in range(width):
-                a, c = np.nonzero(fresh & there[part, w][:, None] & (score >= need[:, w][:, None]) & (score <= ceiling[part, w][:, None]))
-                best.add(part[a] * width + w, score[a, c], bucket.ids[rows[c]])
+                ok = fresh & there[part, w][:, None] & (score >= need[:, w][:, None]) & (score <= ceiling[part, w][:, None])
+                best.offer(part * width + w, score, ok, bucket.ids[rows])
 
         search_bucket(anchors, bucket, lambda: wanted().min(1), offer)
     window, score, found_ids = best.found()

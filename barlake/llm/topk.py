@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.llm.common import stored
-from barlake.llm.vectors import Best, Bucket, buckets, products, quantised, searched
+from barlake.llm.vectors import ROWS, Best, Bucket, bucket_of, buckets, products, quantised, searched
 
 SLACK = 1e-9
 #: Rows of a block that are multiplied at once, and coordinates that a query looks at.
@@ -91,7 +91,7 @@ def _search(best: Best, block: Bucket, bucket: Bucket, need: np.ndarray) -> dict
         if len(rows):
             score = products(block, [q], bucket, rows)[0]
             ok = (score >= need[q]) & (bucket.ids[rows] != block.ids[q])
-            best.add(np.full(int(ok.sum()), q), score[ok], bucket.ids[rows][ok])
+            best.offer(np.array([q]), score[None, :], ok[None, :], bucket.ids[rows])
     ways["length"] = len(whole)
     whole = np.array(whole, np.int64)
     for at in range(0, len(whole), AT_ONCE):
@@ -99,8 +99,8 @@ def _search(best: Best, block: Bucket, bucket: Bucket, need: np.ndarray) -> dict
         least = np.where(norms[part] > 0, need[part] / np.where(norms[part] > 0, norms[part], 1), 0) * (1 - SLACK)
         prefix = int(np.searchsorted(lengths, -max(0.0, least.min()) + SLACK, "right")) if (least > 0).all() else len(lengths)
         score = products(block, part, bucket, slice(0, prefix))
-        q, c = np.nonzero((score >= need[part][:, None]) & (bucket.ids[None, :prefix] != block.ids[part][:, None]))
-        best.add(part[q], score[q, c], bucket.ids[c])
+        ok = (score >= need[part][:, None]) & (bucket.ids[None, :prefix] != block.ids[part][:, None])
+        best.offer(part, score, ok, bucket.ids[:prefix])
     return ways
 
 
@@ -122,27 +122,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
     rows = quantised(vectors, scale)
     by_length = [F.desc("norm"), F.col("vec_id")]
     candidates = buckets(rows, by_length, "lengths")
-    first = candidates.orderBy(F.desc("top"), "bucket").limit(1).collect()  # one bucket of bounded size
-    seed = first[0].asDict() if first else None
+    first = candidates.agg(F.max_by("bucket", F.struct("top", -F.col("bucket")))).first()[0]
+    seed = candidates.where(F.col("bucket") == first).first().asDict() if first is not None else None  # one bucket of bounded size
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's kth score in the bucket of the longest rows, and what cosine and length it must find elsewhere."""
         longest = Bucket(seed) if seed else None
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Bucket(row)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                block = Bucket(bucket_of(part))
                 best = Best(len(block.ids), k)
                 _search(best, block, longest, np.full(len(block.ids), NOTHING))
                 kth = best.least()
                 need = np.where(kth > 0, kth / np.where(block.norms > 0, block.norms, 1), -1.0) * (1 - SLACK)
-                yield pa.RecordBatch.from_pydict({"vec_id": block.ids, "kth": kth, "need": need, "place": np.arange(len(kth)), "bucket": np.full(len(kth), row["bucket"], np.int64)})
+                yield part.append_column("need", pa.array(need)).append_column("kth", pa.array(kth))
 
-    asked = rows.where(F.col("vec_id") % every == 0)
-    drafts = buckets(asked, by_length, "queries")
-    known = stored(drafts.mapInArrow(seeded, "vec_id long, kth long, need double, place long, bucket long"), "seeds")
     # queries of similar need share a block
-    own = asked.join(known.groupBy("vec_id").agg(F.min("need").alias("need"), F.min("kth").alias("kth")), "vec_id")
-    blocks = buckets(own, [F.col("need"), F.col("vec_id")], "blocks", ("need",), ("kth",))
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "label", "norm", "size", "data")
+    seeds = stored(asked.mapInArrow(seeded, ROWS + ", need double, kth long"), "seeds")
+    blocks = buckets(seeds, [F.col("need"), F.col("vec_id")], "blocks", ("need",), ("kth",))
 
     def search(head: dict, found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         block = Bucket(head)

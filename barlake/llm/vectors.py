@@ -109,6 +109,11 @@ def _packed(number: int, rows: list[dict], least: tuple[str, ...], lists: tuple[
     return pa.RecordBatch.from_pydict(out)
 
 
+def bucket_of(batch: pa.RecordBatch) -> dict:
+    """A record batch of quantised rows as one bucket."""
+    return _packed(0, batch.to_pylist(), (), ()).to_pylist()[0]
+
+
 class Bucket:
     """The rows of a bucket in memory: ids, labels, norms, and their integers as a zero-padded matrix of longs."""
 
@@ -170,6 +175,16 @@ class Best:
         self.scores[window, place], self.ids[window, place] = score[kept], ids[kept]
         self.count[touched] = np.bincount(window, minlength=self.n)[touched]
 
+    def offer(self, windows: np.ndarray, scores: np.ndarray, ok: np.ndarray, ids: np.ndarray) -> None:
+        """Add a matrix of scores, one row per window and one column per id, where `ok` holds."""
+        n = scores.shape[1]
+        ok = ok & (scores >= self.least()[windows][:, None])
+        if n > self.k and ok.sum() > 4 * self.k * len(windows):
+            kth = np.partition(np.where(ok, scores, np.iinfo(np.int64).min), n - self.k, axis=1)[:, n - self.k]
+            ok &= scores >= kth[:, None]
+        w, c = np.nonzero(ok)
+        self.add(windows[w], scores[w, c], ids[c])
+
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window, score and id of everything held."""
         window, place = np.nonzero(np.arange(self.k)[None, :] < self.count[:, None])

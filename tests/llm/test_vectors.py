@@ -160,8 +160,7 @@ def test_threshold_stops_early_and_keeps_ties():
     best = vectors.Best(1, 5)
 
     def offer(part, rows, score, fresh):
-        a, c = np.nonzero(fresh & (score >= best.least()[part][:, None]))
-        best.add(part[a], score[a, c], bucket.ids[rows[c]])
+        best.offer(part, score, fresh, bucket.ids[rows])
 
     # a window that already knows a low score
     best.add(np.zeros(5, np.int64), np.full(5, 200), np.arange(10**6, 10**6 + 5))
