@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontaminate, html, jaccard_join, language, line_dedup, negatives, packing, quality, rollups, secrets, token_files, topk
+from barlake.llm import alignment, decontaminate, html, jaccard_join, language, line_dedup, negatives, packing, quality, rollups, secrets, token_files, topk
 from barlake.llm.common import read, shared_folder, stored
 from barlake.llm.tokens import vocabulary
 
@@ -80,11 +80,15 @@ def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_jaccard_join, op2_secrets, op3_main_text, op4_contamination, op5_quality, op6_line_dedup, op7_language, op8_token_rollup, op9_token_files, op10_packing,
-        op11_hard_negatives, op12_top_k,
+        op11_hard_negatives, op12_top_k, op13_alignment,
     )
 }
 ORACLES = {"op6_line_dedup": line_dedup.SQL, "op11_hard_negatives": negatives.SQL, "op12_top_k": topk.SQL}
