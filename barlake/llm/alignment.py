@@ -23,31 +23,35 @@ outside ASCII are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.common import columns, stored
-from barlake.llm.tokens import batches as text_ranges
-from barlake.llm.tokens import raw
+from barlake.llm.tokens import WordStore, bounds, chunks, distinct, in_order, odd_texts, split_ids
+from barlake.llm.words import slices
 
 #: Merge steps of a piece, text bytes that a task encodes at once, and words kept by a worker.
-WORK, SLICE_BYTES, WORDS = 2_000_000, 6_000_000, 300_000
-CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-ODD = re.compile("[\r\x1c-\x1f\x85\xa0  -     　]")
+WORK, SLICE_BYTES, WORDS = 2_000_000, 4_000_000, 400_000
+#: Words encoded in one call, B in fewer as its work grows with the length of a text.
+LOT, LOT_B = 1_000, 100
 
 
 class Vocabularies:
     """Both encoders, the bytes of every token, and the words encoded so far."""
 
     def __init__(self, path_a: str, path_b: str):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -55,60 +59,100 @@ class Vocabularies:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         alphabet = {chr(b): b for b in shown} | {chr(0x100 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
-        names = sorted((i, t) for t, i in self.a.get_vocab().items())
-        self.bytes_a = [b""] * (names[-1][0] + 1)
-        for i, token in names:
+        named = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(named.values()) + 1)
+        for token, i in named.items():
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = pieces.index("▁")
         self.size_a, self.size_b = (np.array([len(t) for t in own], np.int64) for own in (self.bytes_a, self.bytes_b))
-        self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
-
-    def _checked(self, text: bytes, a: list[int], b: list[int]):
-        """Ids of both sides as uint32 bytes; None where their bytes are not the text's."""
+        self.store = WordStore(self._encode, 3, WORDS)
+        # Ids of A are in the order of its merges, so they are ranks for the faster library too; used for ASCII only.
+        base = self.a.get_vocab(with_added_tokens=False)
+        ranks = {self.bytes_a[i]: i for i in base.values()}
+        self.ranked = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if _in_order(path_a, base) else None
+
+    def _checked(self, text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """Ids of both sides and none of the third, or one id of the third side where their bytes are not the text's."""
         if b"".join([self.bytes_a[i] for i in a]) != text or b"".join([self.bytes_b[i] for i in b]) != text:
-            return None
-        return np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()
-
-    def _encode(self, chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        # B puts a space before what it is given: that of the chunk, or one that is taken off again
-        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        for chunk, text, x, y in zip(chunks, texts, a, b):
-            if text == " ":
-                y = [self.space]  # nothing is given, so nothing is put before it
-            elif text[0] != " ":
-                y = y[1:] if y and y[0] == self.space else [0]
-            self.known[chunk] = self._checked(chunk, x.ids, y)
-
-    def ids(self, texts: list[bytes]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides for each whole text with a space before it; None if it has no tokens."""
-        cut: list = []
-        for text in texts:
-            if not text or (not text.isascii() or b"\r" in text or b"\x1c" in text or b"\x1d" in text or b"\x1e" in text or b"\x1f" in text) and ODD.search(text.decode()):
-                cut.append(None)
-            else:
-                cut.append(CHUNK.findall(b" " + text))
-        wanted = set().union(*[c for c in cut if c])
-        new = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 20_000):
-            self._encode(new[at : at + 20_000])
-        known, out = self.known, []
-        for text, chunks in zip(texts, cut):
-            if chunks is None:
-                whole = text.decode()
-                out.append(self._checked(b" " + text, self.a.encode(" " + whole, add_special_tokens=False).ids, self.b.encode(whole)) if text else None)
-                continue
-            found = [known[c] for c in chunks]
-            out.append(None if None in found else (b"".join([x for x, _ in found]), b"".join([y for _, y in found])))
+            return [], [], [0]
+        return a, b, []
+
+    def _alone(self, chunk: bytes) -> tuple[list[int], list[int], list[int]]:
+        """A chunk encoded on its own. B puts a space before what it is given: that of the chunk, or one that is taken off again."""
+        text = chunk.decode()
+        if text == " ":
+            b = [self.space]  # nothing is given, so nothing is put before it
+        elif text[0] == " ":
+            b = self.b.encode(text[1:])
+        else:
+            b = self.b.encode(text)
+            b = b[1:] if b and b[0] == self.space else [0]
+        return self._checked(chunk, self.a.encode(text, add_special_tokens=False).ids, b)
+
+    def _side_a(self, text: str) -> list[int]:
+        if self.ranked and text.isascii():
+            return self.ranked.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode(self, chunks: list[bytes]):
+        # a word with a space before it joins others; B's sign for a space, odd white space and ends of texts stand alone
+        join = [c[:1] == b" " and not c.isspace() and not ODD.search(c.decode()) for c in chunks]
+        parts: list[list] = [[], [], []]
+        order: list[int] = []
+        for ascii_ in (True, False):
+            own = [i for i, (c, j) in enumerate(zip(chunks, join)) if j and c.isascii() == ascii_]
+            for at in range(0, len(own), LOT):
+                lot = own[at : at + LOT]
+                joined = b"".join([chunks[i] for i in lot])
+                lengths = [len(chunks[i]) for i in lot]
+                ids_a = self._side_a(joined.decode())
+                ids_b = [i for k in range(0, len(lot), LOT_B) for i in self.b.encode(b"".join([chunks[i] for i in lot[k : k + LOT_B]])[1:].decode())]
+                if self._checked(joined, ids_a, ids_b)[2]:
+                    raise ValueError("words encoded together do not give back their bytes")
+                parts[0].append(split_ids(np.array(ids_a, np.uint32), self.size_a, lengths))
+                parts[1].append(split_ids(np.array(ids_b, np.uint32), self.size_b, lengths))
+                parts[2].append((np.zeros(0, np.uint32), np.zeros(len(lot), np.int64)))
+                order += lot
+        rest = [i for i, j in enumerate(join) if not j]
+        alone = [self._alone(chunks[i]) for i in rest]
+        for side in range(3):
+            parts[side].append((np.array([x for own in alone for x in own[side]], np.uint32), np.array([len(own[side]) for own in alone], np.int64)))
+        return [in_order(p, order + rest) for p in parts]
+
+    def ids(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides of all texts, each with a space before it, and the borders of texts; a text without tokens has none."""
+        texts = texts.cast(pa.string()).fill_null("")
+        some = pc.not_equal(texts, "")
+        spaced = pc.if_else(some, pc.binary_join_element_wise(" ", texts, ""), "")
+        whole = odd_texts(texts) | pc.match_substring(texts, "\r").to_numpy(zero_copy_only=False)
+        column, first = chunks(spaced, whole)
+        names, codes = distinct(column)
+        places = self.store.places(names)[codes]
+        bad = bounds(self.store.ids(2, places)[1], first)
+        lost = np.repeat(np.diff(bad) > 0, np.diff(first))
+        out = []
+        for side in (0, 1):
+            # texts that are not given back have no words
+            ids, size = self.store.ids(side, places[~lost])
+            all_sizes = np.zeros(len(places), np.int64)
+            all_sizes[~lost] = size
+            out.append((ids, bounds(all_sizes, first)))
         return out
 
 
+ODD = re.compile("[\r\x1c-\x1f\x85\xa0  -     　▁]")
+
+
+def _in_order(path: str, ids: dict[str, int]) -> bool:
+    """Whether every merge of a vocabulary file gives a larger id than the merge before it."""
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    made = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    return all(a < b for a, b in zip(made, made[1:]))
+
+
 @lru_cache(1)
 def vocabularies(path_a: str, path_b: str) -> Vocabularies:
     return Vocabularies(path_a, path_b)
@@ -164,12 +208,10 @@ def pieces(docs: DataFrame, path_a: str, path_b: str, work: int = WORK) -> DataF
         number = TaskContext.get().partitionId() << 32
         before = number  # documents so far, numbered per task
         for batch in found:
-            keys, texts = batch.column(0).to_pylist(), raw(batch.column(1))
-            for first, last in text_ranges(texts, SLICE_BYTES):
-                ids = words.ids(texts[first:last])
-                own = [[np.frombuffer(x[s], np.uint32) if x else np.zeros(0, np.uint32) for x in ids] for s in (0, 1)]
-                flat = [np.concatenate(s) for s in own]
-                until = [np.cumsum([len(x) for x in s]) for s in own]
+            keys = batch.column(0).to_pylist()
+            for first, last in slices(batch.column(1), SLICE_BYTES):
+                both = words.ids(batch.column(1).slice(first, last - first))
+                flat, until = [ids for ids, _ in both], [at[1:] for _, at in both]
                 ends = [np.cumsum(size[x]) for size, x in zip(sizes, flat)]
                 for docs_there, spans in _cut_documents(until, cuts(ends[0], ends[1], work)):
                     docs_there[NUMBER] += before

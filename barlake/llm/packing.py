@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from barlake.llm import tokens
 from barlake.llm.common import columns, stored
+from barlake.llm.words import slices
 
 PIECES_PER_TASK = 200_000
+SLICE_BYTES = 6_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A number of its own for each row of the stored pieces.
 PLACED = PIECE + ", place long"
@@ -37,14 +39,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), tokens.raw(batch.column(1))
-            out = [[], [], [], [], []]
-            for a, b in tokens.batches(texts):
-                for key, ids in zip(keys[a:b], tokens.word_bpe(texts[a:b], vocabulary)):
-                    data = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(data), capacity)):
-                        part = data[at : at + capacity]
-                        for column, value in zip(out, (key, k, at, len(part), zlib.crc32(part.tobytes()))):
+            keys, out = batch.column(0).to_pylist(), [[], [], [], [], []]
+            for a, b in slices(batch.column(1), SLICE_BYTES):
+                flat, at = tokens.with_ends(*tokens.word_ids(batch.column(1).slice(a, b - a), vocabulary), end_id)
+                data = memoryview(flat).cast("B")
+                for key, first, last in zip(keys[a:b], at[:-1].tolist(), at[1:].tolist()):
+                    for k, begin in enumerate(range(first, last, capacity)):
+                        end = min(begin + capacity, last)
+                        for column, value in zip(out, (key, k, begin - first, end - begin, zlib.crc32(data[4 * begin : 4 * end]))):
                             column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             places = pa.array(np.arange(place, place + len(out[0])))

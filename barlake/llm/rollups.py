@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
 from barlake.llm.common import columns
+from barlake.llm.words import slices
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -23,15 +25,14 @@ TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 
 def count_tokens(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
     """doc_id, source, lang, tokenizer, n_tokens of every row under each vocabulary file; null text has no tokens."""
-    encoders = {v: tokens.byte_bpe if path.endswith(".tiktoken") else tokens.word_bpe for v, path in vocabularies.items()}
+    encoders = {v: tokens.byte_ids if path.endswith(".tiktoken") else tokens.word_ids for v, path in vocabularies.items()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = tokens.raw(batch.column(3))
+            texts = batch.column(3)
             for version, path in vocabularies.items():
-                sizes = []
-                for a, b in tokens.batches(texts):
-                    sizes += [len(ids) for ids in encoders[version](texts[a:b], path)]
+                sizes = [np.diff(encoders[version](texts.slice(a, b - a), path)[1]) for a, b in slices(texts, 6_000_000)]
+                sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:3], pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())],
                     ["doc_id", "source", "lang", "tokenizer", "n_tokens"],

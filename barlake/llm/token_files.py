@@ -9,9 +9,10 @@ its tasks. Shards follow each other in key order: `part` is the range of keys, `
     width                bytes per id: 2 where every id of the shard fits, else 4
     payload              all ids, little endian, one document after another
     bounds               n_docs + 1 offsets into the ids, uint64
-    keys                 the keys in order, int64
+    keys                 the keys in order, int64; none in shards of documents without key
+    firsts               first row of each distinct key, and the number of rows, uint32
     pilots               uint32 per bucket of the hash function, about 4 keys each
-    slots                per slot of the minimal perfect hash: fingerprint and ordinal of the key, uint32 each
+    slots                per slot of the minimal perfect hash: fingerprint and ordinal of the distinct key, uint32 each
 
 A keyed read hashes the key to a bucket, the bucket's pilot to a slot, compares the fingerprint, then the key, and
 cuts the payload: constant time, whatever the number of documents.
@@ -30,15 +31,16 @@ from pyspark.sql import functions as F
 
 from barlake.llm import tokens
 from barlake.llm.common import columns, shared_folder
-from barlake.llm.words import mix
+from barlake.llm.words import mix, slices
 
 SHARD_IDS = 4_000_000
+SLICE_BYTES = 6_000_000
 KEYS_PER_BUCKET = 4
 DIRECT = 1 << 31
 
 SCHEMA = (
     "part int, seq int, n_docs long, n_tokens long, first_key long, last_key long, width int, payload binary, "
-    "bounds binary, keys binary, pilots binary, slots binary"
+    "bounds binary, keys binary, firsts binary, pilots binary, slots binary"
 )
 
 
@@ -117,19 +119,21 @@ def find(keys: np.ndarray, pilots: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return np.where(hit[:, 0] == fingerprint(h), hit[:, 1].astype(np.int64), -1)
 
 
-def _shard(part: int, seq: int, keys: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-    keys = np.array(keys, np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+def _shard(part: int, seq: int, keys: np.ndarray | None, ids: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    """A shard of documents with these ascending keys, or of documents without keys (None)."""
+    flat = np.concatenate(ids)
     width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
-    bounds = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum([len(x) for x in ids], out=bounds[1:])
-    pilots, slots = build_index(np.unique(keys))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.uint64)
+    keyed = keys is not None
+    keys = keys if keyed else np.zeros(0, np.int64)
+    distinct, firsts = np.unique(keys, return_index=True)
+    pilots, slots = build_index(distinct)
     row = {
-        "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()),
-        "n_tokens": pa.array([len(flat)], pa.int64()), "first_key": pa.array([keys[0]], pa.int64()), "last_key": pa.array([keys[-1]], pa.int64()),
-        "width": pa.array([width], pa.int32()),
+        "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(bounds) - 1], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()),
+        "first_key": pa.array([int(keys[0]) if keyed else None], pa.int64()), "last_key": pa.array([int(keys[-1]) if keyed else None], pa.int64()), "width": pa.array([width], pa.int32()),
     }
-    for name, data in (("payload", flat.astype(f"<u{width}")), ("bounds", bounds), ("keys", keys), ("pilots", pilots), ("slots", slots)):
+    firsts = np.append(firsts, len(keys)).astype(np.uint32)
+    for name, data in (("payload", flat.astype(f"<u{width}")), ("bounds", bounds), ("keys", keys), ("firsts", firsts), ("pilots", pilots), ("slots", slots)):
         row[name] = pa.array([data.tobytes()], pa.binary())
     return pa.RecordBatch.from_pydict(row)
 
@@ -137,30 +141,43 @@ def _shard(part: int, seq: int, keys: list, ids: list[np.ndarray]) -> pa.RecordB
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     """Encode every whole text, `end_id` after each, and write shards in ascending doc_id order.
 
-    Null text counts as empty. A null doc_id has no place in a keyed format and raises. Repeated doc_ids keep all
-    their rows: the index holds the distinct keys, and a lookup returns every row of a key.
+    Null text counts as empty. Rows without doc_id come last, in shards of their own that no key finds. Repeated doc_ids
+    keep all their rows: the index holds the distinct keys, and a lookup returns every row of a key. Rows are dealt by
+    doc_id and a hash of the text, so those of one repeated doc_id may be spread over several shards.
     """
 
     def shards(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
-        keys, ids = [], []
-        for batch in rows:
-            if batch.column(0).null_count:
-                raise ValueError("doc_id must not be null")
-            own, texts = batch.column(0).to_pylist(), tokens.raw(batch.column(1))
-            for a, b in tokens.batches(texts):
-                for key, found in zip(own[a:b], tokens.word_bpe(texts[a:b], vocabulary)):
-                    if size + len(found) >= SHARD_IDS and keys:
-                        yield _shard(part, seq, keys, ids)
-                        seq, size, keys, ids = seq + 1, 0, [], []
-                    keys.append(key)
-                    ids.append(np.append(found, np.uint32(end_id)))
-                    size += len(found) + 1
-        if keys:
-            yield _shard(part, seq, keys, ids)
+        part, seq = TaskContext.get().partitionId(), 0
+        keys, ids, sizes, used, keyed = [], [], [], 0, True
+
+        def shard():
+            return _shard(part, seq, np.concatenate(keys) if keyed else None, ids, sizes)
 
+        for batch in rows:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = batch.column(0).fill_null(0).to_numpy()
+            for a, b in slices(batch.column(1), SLICE_BYTES):
+                flat, at = tokens.with_ends(*tokens.word_ids(batch.column(1).slice(a, b - a), vocabulary), end_id)
+                begin, last_keyed = 0, int(known[a:b].sum())
+                while begin < b - a:
+                    end = int(np.searchsorted(at, at[begin] + SHARD_IDS - used, "right")) - 1
+                    end = min(end, last_keyed) if begin < last_keyed else end
+                    if ids and (end <= begin or keyed != (begin < last_keyed)):
+                        yield shard()
+                        seq, keys, ids, sizes, used = seq + 1, [], [], [], 0
+                        continue
+                    end, keyed = max(end, begin + 1), begin < last_keyed
+                    keys.append(own[a + begin : a + end])
+                    ids.append(flat[at[begin] : at[end]])
+                    sizes.append(np.diff(at[begin : end + 1]))
+                    used += int(at[end] - at[begin])
+                    begin = end
+        if ids:
+            yield shard()
+
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = columns(docs, "doc_id", "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(shards, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -173,43 +190,54 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     return sizes.join(parts.select("part", before.alias("_before")), "part").select("part", "seq", (F.col("_before") + inside).alias("base"))
 
 
-def _open(row: dict) -> tuple[np.ndarray, ...]:
-    keys = np.frombuffer(row["keys"], np.int64)
-    return (
-        keys, np.frombuffer(row["bounds"], np.uint64).astype(np.int64), np.frombuffer(row["payload"], f"<u{row['width']}"),
-        np.frombuffer(row["pilots"], np.uint32), np.frombuffer(row["slots"], np.uint32).reshape(-1, 2),
-    )
+class Shard:
+    """Views of one stored shard; nothing is copied, sorted or decoded but what is asked for."""
+
+    def __init__(self, row: dict):
+        self.bounds, self.ids = np.frombuffer(row["bounds"], np.uint64), np.frombuffer(row["payload"], f"<u{row['width']}")
+        self.keys, self.firsts = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["firsts"], np.uint32)
+        self.pilots, self.slots = np.frombuffer(row["pilots"], np.uint32), np.frombuffer(row["slots"], np.uint32).reshape(-1, 2)
+
+    def rows_of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Wanted keys and the rows that have them: through the index to the key's first row, checked against the key."""
+        at = find(wanted, self.pilots, self.slots)
+        at, wanted = at[at >= 0], wanted[at >= 0]
+        first, last = self.firsts[at].astype(np.int64), self.firsts[at + 1].astype(np.int64)
+        real = self.keys[first] == wanted
+        first, count, wanted = first[real], (last - first)[real], wanted[real]
+        rows = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.repeat(wanted, count), rows
 
+    def document(self, row: int) -> np.ndarray:
+        return self.ids[int(self.bounds[row]) : int(self.bounds[row + 1])]
 
-def _spans(keys, wanted, pilots, slots):
-    """Shard rows of each wanted key: through the index to its ordinal among distinct keys, checked against the key."""
-    distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
-    at = find(wanted, pilots, slots)
-    ok = (at >= 0) & (distinct[at] == wanted)
-    for k in np.flatnonzero(ok):
-        for row in range(first[at[k]], first[at[k]] + count[at[k]]):
-            yield int(wanted[k]), row
+
+STORED = ["width", "payload", "bounds", "keys", "firsts", "pilots", "slots"]
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """Read every document back through the index: doc_id, start, n_tokens, ids_crc32."""
+    """Read every document back, those with keys through the index: doc_id, start, n_tokens, ids_crc32."""
 
     def rows(shards: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards:
             for row in batch.to_pylist():
-                keys, bounds, ids, pilots, slots = _open(row)
-                found = list(_spans(keys, np.unique(keys), pilots, slots))
-                at = np.array([r for _, r in found], np.int64)
+                shard = Shard(row)
+                if len(shard.keys):
+                    keys, at = shard.rows_of(shard.keys[shard.firsts[:-1]])
+                    doc_id = pa.array(keys)
+                else:
+                    at = np.arange(len(shard.bounds) - 1)
+                    doc_id = pa.nulls(len(at), pa.int64())
+                inside = shard.bounds[at].astype(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "part": pa.array([row["part"]] * len(found), pa.int32()), "seq": pa.array([row["seq"]] * len(found), pa.int32()),
-                        "doc_id": pa.array([k for k, _ in found], pa.int64()), "inside": pa.array(bounds[at], pa.int64()),
-                        "n_tokens": pa.array(bounds[at + 1] - bounds[at], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(ids[bounds[r] : bounds[r + 1]].astype("<u4").tobytes()) for r in at], pa.int64()),
+                        "part": pa.array([row["part"]] * len(at), pa.int32()), "seq": pa.array([row["seq"]] * len(at), pa.int32()),
+                        "doc_id": doc_id, "inside": pa.array(inside), "n_tokens": pa.array(shard.bounds[at + 1].astype(np.int64) - inside),
+                        "ids_crc32": pa.array([zlib.crc32(shard.document(r).astype("<u4").tobytes()) for r in at.tolist()], pa.int64()),
                     }
                 )
 
-    shards = spark.read.parquet(path).select("part", "seq", "width", "payload", "bounds", "keys", "pilots", "slots")
+    shards = spark.read.parquet(path).select("part", "seq", *STORED)
     read = shards.mapInArrow(rows, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return read.join(starts(spark, path), ["part", "seq"]).select(
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
@@ -223,14 +251,10 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     def rows(shards: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards:
             for row in batch.to_pylist():
-                stored, bounds, ids, pilots, slots = _open(row)
-                found = list(_spans(stored, wanted, pilots, slots))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([k for k, _ in found], pa.int64()),
-                        "ids": pa.array([ids[bounds[r] : bounds[r + 1]].astype(np.int64) for _, r in found], pa.list_(pa.int64())),
-                    }
-                )
+                shard = Shard(row)
+                found, at = shard.rows_of(wanted)
+                ids = pa.array([shard.document(r).astype(np.int64) for r in at.tolist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found), "ids": ids})
 
     shards = spark.read.parquet(path)
     if not len(wanted):
@@ -240,7 +264,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
         for k in wanted.tolist():
             some |= (F.col("first_key") <= k) & (F.col("last_key") >= k)
         shards = shards.where(some)
-    return shards.select("width", "payload", "bounds", "keys", "pilots", "slots").mapInArrow(rows, "doc_id long, ids array<long>")
+    return shards.select(*STORED).mapInArrow(rows, "doc_id long, ids array<long>")
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
