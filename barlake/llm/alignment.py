@@ -6,10 +6,10 @@ point where it crosses a diagonal i + j = d is found by binary search without me
 equal distances cut the path into pieces of equal work that are merged independently, whatever the documents' lengths:
 a long document is many pieces, many short ones are one. A common end is never cut apart.
 
-1. **Pieces.** Each task encodes its texts and writes one row per piece: token ids of both sides and the borders of
+1. **Pieces.** Each task encodes its texts and yields one row per piece: token ids of both sides and the borders of
    documents in it.
 2. **Merge.** Each piece yields its common ends (links), its part of every document's groups, and its distinct id pairs
-   with their counts.
+   with their counts: one stored row, without token ids but for documents that the piece cuts.
 3. **Counts.** Pairs are summed over the corpus, the best A id of every B id is marked, and each piece hears of its own
    distinct pairs only; no table of pairs is broadcast.
 4. **Stitch.** Documents inside one piece are finished there. Parts of documents that cross pieces are joined: the tokens
@@ -40,7 +40,7 @@ from barlake.llm.tokens import WordStore, bounds, chunks, distinct, in_order, od
 from barlake.llm.words import slices
 
 #: Merge steps of a piece, text bytes that a task encodes at once, and words kept by a worker.
-WORK, SLICE_BYTES, WORDS = 2_000_000, 4_000_000, 400_000
+WORK, SLICE_BYTES, WORDS = 1_000_000, 3_000_000, 300_000
 #: Words encoded in one call, B in fewer as its work grows with the length of a text.
 LOT, LOT_B = 1_000, 100
 
@@ -142,7 +142,8 @@ class Vocabularies:
         return out
 
 
-ODD = re.compile("[\r\x1c-\x1f\x85\xa0  -     　▁]")
+#: White space that the libraries' patterns may treat differently, and B's sign for a space.
+ODD = re.compile("[\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581]")
 
 
 def _in_order(path: str, ids: dict[str, int]) -> bool:
@@ -190,42 +191,33 @@ def cuts(a: np.ndarray, b: np.ndarray, work: int) -> list[tuple[int, int]]:
     return out
 
 
-PIECE = "piece long, docs binary, keys array<long>, ids_a binary, ids_b binary, start_a long, start_b long"
 #: Rows of the table of documents in a piece: number, tokens of A and B in the piece, begun before it, going on after it.
 NUMBER, TOKENS_A, TOKENS_B, BEFORE, AFTER = range(5)
 
 
-def _narrow(size: np.ndarray) -> str:
-    return "<u2" if len(size) <= 1 << 16 else "<u4"
+def _narrow(count: int) -> str:
+    return "<u2" if count <= 1 << 16 else "<u4"
 
 
-def pieces(docs: DataFrame, path_a: str, path_b: str, work: int = WORK) -> DataFrame:
-    """One stored row per piece: its documents, its token ids, and the byte offsets at which both sides begin in it."""
-
-    def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabularies(path_a, path_b)
-        sizes = words.size_a, words.size_b
-        number = TaskContext.get().partitionId() << 32
-        before = number  # documents so far, numbered per task
-        for batch in found:
-            keys = batch.column(0).to_pylist()
-            for first, last in slices(batch.column(1), SLICE_BYTES):
-                both = words.ids(batch.column(1).slice(first, last - first))
-                flat, until = [ids for ids, _ in both], [at[1:] for _, at in both]
-                ends = [np.cumsum(size[x]) for size, x in zip(sizes, flat)]
-                for docs_there, spans in _cut_documents(until, cuts(ends[0], ends[1], work)):
-                    docs_there[NUMBER] += before
-                    at = docs_there[NUMBER] - before + first
-                    row = {"piece": pa.array([number]), "docs": pa.array([docs_there.tobytes()]), "keys": pa.array([[keys[k] for k in at]], pa.list_(pa.int64()))}
-                    for side, (i, x), f, size in zip("ab", spans, flat, sizes):
-                        row[f"ids_{side}"] = pa.array([f[i:x].astype(_narrow(size)).tobytes()])
-                    for side, (i, _), e in zip("ab", spans, ends):
-                        row[f"start_{side}"] = pa.array([int(e[i - 1]) if i else 0], pa.int64())
-                    yield pa.RecordBatch.from_pydict(row)
-                    number += 1
-                before += last - first
-
-    return stored(columns(docs, "doc_id", "text").mapInArrow(rows, PIECE), "alignment-pieces")
+def pieces(batches: Iterator[pa.RecordBatch], words: Vocabularies, work: int, number: int) -> Iterator[dict]:
+    """Pieces of a task's rows (doc_id, text): documents, token ids, and the byte offsets at which both sides begin."""
+    sizes = words.size_a, words.size_b
+    before = number  # documents so far, numbered per task
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for first, last in slices(batch.column(1), SLICE_BYTES):
+            both = words.ids(batch.column(1).slice(first, last - first))
+            flat, until = [ids for ids, _ in both], [at[1:] for _, at in both]
+            ends = [np.cumsum(size[x]) for size, x in zip(sizes, flat)]
+            for docs, spans in _cut_documents(until, cuts(ends[0], ends[1], work)):
+                piece = {"piece": number, "keys": [keys[first + k] for k in docs[NUMBER]]}
+                docs[NUMBER] += before
+                piece["docs"] = docs
+                for side, (i, x), ids, end in zip("ab", spans, flat, ends):
+                    piece[f"ids_{side}"], piece[f"start_{side}"] = ids[i:x], int(end[i - 1]) if i else 0
+                yield piece
+                number += 1
+            before += last - first
 
 
 def _cut_documents(until: list[np.ndarray], borders: list[tuple[int, int]]):
@@ -284,41 +276,47 @@ MERGED = (
 )
 
 
-def merged(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Each piece merged on its own: links, groups, distinct id pairs (kind 0), and parts of documents it cuts (kind 1)."""
+def _merge(piece: dict, words: Vocabularies) -> list[dict]:
+    """Links, groups and distinct id pairs of one piece (kind 0), and the parts of documents that it cuts (kind 1)."""
+    size, width = max(len(words.size_a), len(words.size_b)), len(words.size_b)
+    ids_a, ids_b, docs = piece["ids_a"], piece["ids_b"], piece["docs"]
+    last_a, last_b = common_ends(piece["start_a"] + np.cumsum(words.size_a[ids_a]), piece["start_b"] + np.cumsum(words.size_b[ids_b]))
+    until_a, until_b = np.cumsum(docs[TOKENS_A]), np.cumsum(docs[TOKENS_B])
+    links = np.diff(np.searchsorted(last_a, until_a), prepend=0)
+    names = group_names(ids_a, ids_b, last_a, last_b, size)
+    whole = (docs[BEFORE] == 0) & (docs[AFTER] == 0)
+    upto = np.concatenate([[0], until_a + until_b]).tolist()
+    shas = [_sha(names[s:e]) if w else None for w, s, e in zip(whole, upto, upto[1:])]
+    pairs, place, counts = np.unique(ids_a[last_a].astype(np.int64) * width + ids_b[last_b], return_inverse=True, return_counts=True)
+    out = [{
+        "kind": 0, "piece": piece["piece"], "docs": docs.tobytes(), "keys": piece["keys"], "links": links.astype(np.int64).tobytes(), "shas": shas,
+        "pairs": pairs.tobytes(), "counts": counts.astype(np.int64).tobytes(), "link_pairs": place.astype(_narrow(len(pairs))).tobytes(),
+    }]
+    for d in np.flatnonzero(~whole):
+        (a0, a1), (b0, b1) = ((int(u[d] - docs[t, d]), int(u[d])) for u, t in ((until_a, TOKENS_A), (until_b, TOKENS_B)))
+        k0, k1 = np.searchsorted(last_a, [a0, a1])
+        out.append({
+            "kind": 1, "piece": piece["piece"], "number": int(docs[NUMBER, d]), "ids_a": ids_a[a0:a1].tobytes(), "ids_b": ids_b[b0:b1].tobytes(),
+            "last_a": (last_a[k0:k1] - a0).tobytes(), "last_b": (last_b[k0:k1] - b0).tobytes(),
+        })
+    return out
+
+
+def merged(docs: DataFrame, path_a: str, path_b: str, work: int = WORK) -> DataFrame:
+    """Pieces of all documents, each merged on its own; stored."""
     kinds = {"kind": pa.int32(), "piece": pa.int64(), "keys": pa.list_(pa.int64()), "shas": pa.list_(pa.string()), "number": pa.int64()}
     names = [c.split()[0] for c in MERGED.split(", ")]
     schema = pa.schema([(n, kinds.get(n, pa.binary())) for n in names])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabularies(path_a, path_b)
-        size, width = max(len(words.size_a), len(words.size_b)), len(words.size_b)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids_a, ids_b = np.frombuffer(row["ids_a"], _narrow(words.size_a)), np.frombuffer(row["ids_b"], _narrow(words.size_b))
-                last_a, last_b = common_ends(row["start_a"] + np.cumsum(words.size_a[ids_a]), row["start_b"] + np.cumsum(words.size_b[ids_b]))
-                docs = np.frombuffer(row["docs"], np.int64).reshape(5, -1)
-                until_a, until_b = np.cumsum(docs[TOKENS_A]), np.cumsum(docs[TOKENS_B])
-                until = np.searchsorted(last_a, until_a)
-                names_there = group_names(ids_a, ids_b, last_a, last_b, size)
-                whole = (docs[BEFORE] == 0) & (docs[AFTER] == 0)
-                upto = np.concatenate([[0], until_a + until_b]).tolist()
-                shas = [_sha(names_there[s:e]) if w else None for w, s, e in zip(whole, upto, upto[1:])]
-                pairs, place, counts = np.unique(ids_a[last_a].astype(np.int64) * width + ids_b[last_b], return_inverse=True, return_counts=True)
-                out = [{
-                    "kind": 0, "piece": row["piece"], "docs": row["docs"], "keys": row["keys"], "links": np.diff(until, prepend=0).astype(np.int64).tobytes(),
-                    "shas": shas, "pairs": pairs.tobytes(), "counts": counts.astype(np.int64).tobytes(), "link_pairs": place.astype(np.uint32).tobytes(),
-                }]
-                for d in np.flatnonzero(~whole):
-                    (a0, a1), (b0, b1) = ((int(u[d] - docs[t, d]), int(u[d])) for u, t in ((until_a, TOKENS_A), (until_b, TOKENS_B)))
-                    k0, k1 = np.searchsorted(last_a, [a0, a1])
-                    out.append({
-                        "kind": 1, "piece": row["piece"], "number": int(docs[NUMBER, d]), "ids_a": ids_a[a0:a1].astype("<u4").tobytes(), "ids_b": ids_b[b0:b1].astype("<u4").tobytes(),
-                        "last_a": (last_a[k0:k1] - a0).tobytes(), "last_b": (last_b[k0:k1] - b0).tobytes(),
-                    })
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return stored(found.mapInArrow(rows, MERGED), "alignment-merged")
+        try:
+            for piece in pieces(batches, words, work, TaskContext.get().partitionId() << 32):
+                yield pa.RecordBatch.from_pylist(_merge(piece, words), schema=schema)
+        finally:  # workers are used again, and the next task may need the memory
+            words.store.clear()
+
+    return stored(columns(docs, "doc_id", "text").mapInArrow(rows, MERGED), "alignment-merged", "zstd")
 
 
 def pair_counts(pieces_merged: DataFrame) -> DataFrame:
@@ -326,7 +324,8 @@ def pair_counts(pieces_merged: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 pairs, counts = np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["counts"], np.int64)
                 yield pa.RecordBatch.from_pydict({"piece": np.full(len(pairs), row["piece"], np.int64), "pair": pairs, "n": counts})
 
@@ -345,7 +344,7 @@ def _answered(piece: pa.Table, answers: pa.Table) -> pa.Table:
     pair = answers["pair"].to_numpy()
     order = np.argsort(pair)
     assert np.array_equal(pair[order], np.frombuffer(row["pairs"], np.int64))
-    place = np.frombuffer(row["link_pairs"], np.uint32)
+    place = np.frombuffer(row["link_pairs"], _narrow(len(pair)))
     upto = np.cumsum(links)
     sums = []
     for name in ("best", "total"):
@@ -387,7 +386,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, work: int = WORK) -> DataFr
     """
     words = vocabularies(path_a, path_b)
     size, width = max(len(words.size_a), len(words.size_b)), len(words.size_b)
-    table = merged(pieces(docs, path_a, path_b, work), path_a, path_b)
+    table = merged(docs, path_a, path_b, work)
     found = pair_counts(table)
     totals = found.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("b", F.col("pair") % width)
     totals = stored(totals, "alignment-pairs")
