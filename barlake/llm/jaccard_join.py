@@ -10,9 +10,8 @@
 4. **Pairs.** Groups that share a prefix shingle are paired if sizes and remaining shingles allow the threshold. Pairs
    are expanded to members and verified on the exact intersection.
 
-Links are wanted for components, so a pair whose members are connected already is never formed: the first rounds pair
-each group with one partner (and each member with its group's first), and the last round forms and verifies all pairs
-between different components. No pair is dropped for any other reason. A shingle that stands in very many documents
+Links are wanted for components, so the first round pairs each group with two partners (and each member with its group's
+first), and the last round forms and verifies all pairs between the components that are still different. No pair is dropped for any other reason. A shingle that stands in very many documents
 comes last in the order; the postings of one that is left are joined, never collected.
 """
 
@@ -35,7 +34,8 @@ from barlake.llm.words import SPACE, cut, mix, run_hashes, slices, word_hashes
 SHINGLE = 5
 PERCENT = 80
 CHUNK_BYTES = 6_000_000
-CHUNK_DOCS = 60_000
+#: Documents of a chunk are numbered in 16 bits, SEVERAL being none of them, and come in slices of so many at most.
+CHUNK_DOCS, SLICE_DOCS = 60_000, 10_000
 TOKENS_PER_TASK = 1_000_000
 SEVERAL = 0xFFFF
 NO_ID = -(2**63)
@@ -176,12 +176,12 @@ def shared_sets(docs: DataFrame) -> DataFrame:
         task, number = TaskContext.get().partitionId(), 0
         ids, sets, used = [], [], 0
         for batch in batches:
-            for a, b in slices(batch.column(1), 2_000_000):
+            for a, b in slices(batch.column(1), 2_000_000, SLICE_DOCS):
                 part = batch.slice(a, b - a)
                 ids += part.column(0).to_pylist()
                 sets += shingle_sets(part.column(1))
                 used += int(part.column(1).nbytes)
-                if used >= CHUNK_BYTES or len(ids) + 10_000 > CHUNK_DOCS:
+                if used >= CHUNK_BYTES or len(ids) + SLICE_DOCS > CHUNK_DOCS:
                     yield _chunk_messages(task << 24 | number, ids, sets, parts)
                     ids, sets, used, number = [], [], 0, number + 1
         if ids:
@@ -217,7 +217,8 @@ def _links(rows: DataFrame) -> DataFrame | None:
     """Components (node, component) of the class representatives that are linked."""
     live = rows.where("tokens is not null and doc_id is not null")
     reps = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    own = live.join(reps, ["n", "f1", "f2"]).where("doc_id = rep").select("rep", "n", "tokens", "prefix")
+    # by doc_id too, so that a class of very many copies is no hot key
+    own = live.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "n", "tokens", "prefix")
     prefixes = stored(own.select("rep", "n", "prefix"), "prefixes")
     groups = prefixes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
     # of n shared and unshared shingles the prefix holds n - needed + 1, the unshared ones first
@@ -240,17 +241,16 @@ def _links(rows: DataFrame) -> DataFrame | None:
         found.append(stored(_verified(pairs, sets), "links"))
         return components(reduce(DataFrame.unionByName, found))
 
-    order = {1: F.col("gid"), 2: F.xxhash64("gid")}
-    labels = None
-    for number in (1, 2):
-        open_ = _open(posted, _labelled(members, labels))
-        pivot = open_.groupBy("token").agg(F.min(F.struct(order[number].alias("_o"), "gid", "n", "rest", "low", "high")).alias("p")).select("token", "p.*").drop("_o")
-        met = open_.alias("x").join(pivot.alias("y"), "token").where(_fits("x", "y") & F.expr("x.gid <> y.gid and not (x.low = x.high and y.low = y.high and x.low = y.low)"))
+    # first each group with its best partner under two orders, and each member with its group's first
+    open_ = stored(_open(posted, _labelled(members, None)), "open")
+    partners = [members.where("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v"))]
+    for order in (F.col("gid"), F.xxhash64("gid")):
+        pivot = open_.groupBy("token").agg(F.min(F.struct(order.alias("_o"), "gid", "n", "rest", "low", "high")).alias("p")).select("token", "p.*").drop("_o")
+        met = open_.alias("x").join(pivot.alias("y").hint("merge"), "token")
+        met = met.where(_fits("x", "y") & F.expr("x.gid <> y.gid and not (x.low = x.high and y.low = y.high and x.low = y.low)"))
         weights = met.groupBy(F.col("x.gid").alias("v"), F.col("y.gid").alias("u")).agg(F.count("*").alias("w"))
-        best = weights.groupBy("v").agg(F.max_by("u", F.struct("w", -F.col("u"))).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        if number == 1:
-            best = best.unionByName(members.where("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v")))
-        labels = settle(best.distinct())
+        partners.append(weights.groupBy("v").agg(F.max_by("u", F.struct("w", -F.col("u"))).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    labels = settle(reduce(DataFrame.unionByName, partners).distinct())
 
     known = stored(_labelled(members, labels), "labelled")
     open_ = stored(_open(posted, known), "open")
@@ -260,6 +260,8 @@ def _links(rows: DataFrame) -> DataFrame | None:
     groups_met = open_.where("minor").alias("x").join(open_.alias("y"), "token").where(_fits("x", "y") & apart)
     groups_met = groups_met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
     split = known.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    if open_.isEmpty() and split.isEmpty():
+        return labels
     groups_met = groups_met.unionByName(split.select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     left, right = (known.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("comp").alias(c)) for g, r, c in (("a", "u", "cu"), ("b", "v", "cv")))
     pairs = groups_met.join(left, "a").join(right, "b").where("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -285,9 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = _links(rows)
     sized = rows.select("doc_id", "n", "f1", "f2")
     classes = sized.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    alike = sized.join(classes, ["n", "f1", "f2"], "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    joined = alike.join(labels, alike["class_id"] == labels["node"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    # one row per class gets its component first, so that rows are joined once, in a join whose hot keys Spark can split
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("n", "f1", "f2", "rep", F.coalesce("component", "rep").alias("comp"))
+    alike = sized.join(stored(named, "classes"), ["n", "f1", "f2"], "left")
+    of = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    return alike.select("doc_id", F.col("n").alias("n_shingles"), of("comp").alias("component_id"), of("rep").alias("class_id"))
 
 
 def _keys(docs: DataFrame) -> DataFrame | None:

@@ -54,12 +54,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes, one longer row alone, so that scratch arrays stay small."""
+def slices(texts: pa.Array, limit: int = 2_000_000, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes, one longer row alone, and at most `rows` rows, so that scratch arrays stay small."""
     size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     begin, used = 0, 0
     for i, n in enumerate(size):
-        if used and used + n > limit:
+        if used and used + n > limit or i - begin >= rows:
             yield begin, i
             begin, used = i, 0
         used += int(n)
