@@ -10,8 +10,9 @@
 4. **Pairs.** Groups that share a prefix shingle are paired if sizes and remaining shingles allow the threshold. Pairs
    are expanded to members and verified on the exact intersection.
 
-Links are wanted for components, so the first round pairs each group with two partners (and each member with its group's
-first), and the last round forms and verifies all pairs between the components that are still different. No pair is dropped for any other reason. A shingle that stands in very many documents
+Links are wanted for components, so a pair whose members are connected already is never formed: the first rounds pair
+each group with one partner (and each member with its group's first), and the last round forms and verifies all pairs
+between different components. No pair is dropped for any other reason. A shingle that stands in very many documents
 comes last in the order; the postings of one that is left are joined, never collected.
 """
 
@@ -241,16 +242,20 @@ def _links(rows: DataFrame) -> DataFrame | None:
         found.append(stored(_verified(pairs, sets), "links"))
         return components(reduce(DataFrame.unionByName, found))
 
-    # first each group with its best partner under two orders, and each member with its group's first
-    open_ = stored(_open(posted, _labelled(members, None)), "open")
-    partners = [members.where("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v"))]
-    for order in (F.col("gid"), F.xxhash64("gid")):
-        pivot = open_.groupBy("token").agg(F.min(F.struct(order.alias("_o"), "gid", "n", "rest", "low", "high")).alias("p")).select("token", "p.*").drop("_o")
+    order = {1: F.col("gid"), 2: F.xxhash64("gid")}
+    labels = None
+    for number in (1, 2):
+        open_ = stored(_open(posted, _labelled(members, labels)), "open")
+        pivot = open_.groupBy("token").agg(F.min(F.struct(order[number].alias("_o"), "gid", "n", "rest", "low", "high")).alias("p")).select("token", "p.*").drop("_o")
         met = open_.alias("x").join(pivot.alias("y").hint("merge"), "token")
         met = met.where(_fits("x", "y") & F.expr("x.gid <> y.gid and not (x.low = x.high and y.low = y.high and x.low = y.low)"))
         weights = met.groupBy(F.col("x.gid").alias("v"), F.col("y.gid").alias("u")).agg(F.count("*").alias("w"))
-        partners.append(weights.groupBy("v").agg(F.max_by("u", F.struct("w", -F.col("u"))).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    labels = settle(reduce(DataFrame.unionByName, partners).distinct())
+        best = weights.groupBy("v").agg(F.max_by("u", F.struct("w", -F.col("u"))).alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        if number == 1:
+            best = best.unionByName(members.where("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v")))
+        elif open_.isEmpty():
+            break
+        labels = settle(best.distinct())
 
     known = stored(_labelled(members, labels), "labelled")
     open_ = stored(_open(posted, known), "open")
