@@ -21,12 +21,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
 from barlake.llm.common import columns, stored
-from barlake.llm.words import SPACE, cut, mix, run_hashes, slices, word_hashes
+from barlake.llm.words import SPACE, buffers, cut, mix, run_hashes, slices, word_hashes
 
 
 class Band(NamedTuple):
@@ -108,10 +109,23 @@ def repeated_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return count, np.bincount(words.doc[covered], minlength=len(count))
 
 
-def _entropy(ids: np.ndarray) -> float:
-    """Bits per token; 0 without tokens."""
-    counts = np.unique(ids, return_counts=True)[1] / max(1, len(ids))
-    return float(-(counts * np.log2(counts)).sum()) if len(ids) else 0.0
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the values between consecutive borders."""
+    return np.diff(np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])[at])
+
+
+def _entropy(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits per token of each text; 0 without tokens."""
+    n = np.diff(at)
+    key = np.sort(np.repeat(np.arange(len(n)), n) << 32 | ids.astype(np.int64))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(np.append(first, len(key))).astype(float)
+    weighted = np.bincount(key[first] >> 32, count * np.log2(count), len(n))
+    return np.where(n > 0, np.maximum(0.0, np.log2(np.maximum(n, 1)) - weighted / np.maximum(n, 1)), 0.0)
+
+
+_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL[list(b"#*$%&|<>")] = 1
 
 
 def measure(docs: DataFrame, rules: Rules | None = None, inner: int = 2_000_000) -> DataFrame:
@@ -120,39 +134,39 @@ def measure(docs: DataFrame, rules: Rules | None = None, inner: int = 2_000_000)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens.piece_model(rules.piece_vocabulary)
-        bytes_ = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        pieces, ranked = tokens.piece_words(rules.piece_vocabulary), tokens.rank_words(rules.byte_vocabulary)
+        bytes_ = np.array([model.is_byte(i) for i in range(model.get_piece_size())], np.int64)
+        store = tokens.pair_store(rules.piece_vocabulary, rules.byte_vocabulary)
         try:
             for batch in batches:
                 for a, b in slices(batch.column(1), inner):
-                    yield _rows(batch.slice(a, b - a), pieces, ranked, bytes_)
+                    yield _rows(batch.slice(a, b - a), store, bytes_)
         finally:  # workers are used again, and the next task may need the memory
-            pieces.known.clear()
-            ranked.known.clear()
-
-    def _rows(part, pieces, ranked, bytes_):
-        texts = tokens.raw(part.column(1))
-        n_words, n_repeat = repeated_words(part.column(1))
-        words = [t.split() for t in texts]
-        distinct = set().union(*words)
-        by_piece, by_rank = pieces.add(distinct), ranked.add(distinct)
-        out = [[] for _ in _NAMES]
-        for key, lang, text, ws, n, rep in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts, words, n_words.tolist(), n_repeat.tolist()):
-            chars = len(b"".join(ws).decode())
-            symbols = len(text) - len(text.translate(None, b"#*$%&|<>"))
-            lines = [line for line in text.split(b"\n") if line.strip()]
-            failed = n < 50 or 100 * rep > 50 * n
-            ids = np.frombuffer(b"".join([by_piece[w] for w in ws]), np.uint32)
-            ranks = sum([len(by_rank[w]) for w in ws]) // 4
-            piece_chars, byte_chars = (chars / len(ids), chars / ranks) if n else (0.0, 0.0)
-            fallback = float(bytes_[ids].mean()) if n else 0.0
-            entropy = _entropy(ids)
-            kind = script(text.decode())
-            inside = all(lo <= v <= hi for v, (lo, hi) in zip((piece_chars, byte_chars, fallback, entropy), rules.bands.get(kind) or rules.bands["other"]))
-            row = (key, n, chars, symbols, len(lines) - len(set(lines)), rep, lang, kind, piece_chars, byte_chars, fallback, entropy, failed, inside)
-            for column, value in zip(out, row):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES)], _NAMES)
+            store.clear()
+
+    def _rows(part, store, bytes_):
+        column = part.column(1).cast(pa.string()).fill_null("")
+        n_words, n_repeat = repeated_words(column)
+        data, at = buffers(column)
+        chars = _sums((((data & 0xC0) != 0x80) & ~SPACE[data]).astype(np.int64), at)
+        symbols = _sums(_SYMBOL[data], at)
+        split = pc.ascii_split_whitespace(column)
+        names, codes = tokens.distinct(split.flatten())
+        places, first = store.places(names)[codes], split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        ids, sizes = store.ids(0, places)
+        ids_at, ranks_at = tokens.bounds(sizes, first), tokens.bounds(store.ids(1, places)[1], first)
+        n_ids, n_ranks = np.diff(ids_at), np.diff(ranks_at)
+        per = lambda total, n: np.where(n > 0, total / np.maximum(n, 1), 0.0)
+        measures = per(chars, n_ids), per(chars, n_ranks), per(_sums(bytes_[ids], ids_at), n_ids), _entropy(ids, ids_at)
+        failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
+        dups, kinds, inside = [], [], []
+        for text, own in zip(column.to_pylist(), zip(*[m.tolist() for m in measures])):
+            lines = [line for line in text.split("\n") if line.strip(" \t\n\r\x0b\x0c")]
+            dups.append(len(lines) - len(set(lines)))
+            kind = script(text)
+            kinds.append(kind)
+            inside.append(all(lo <= v <= hi for v, (lo, hi) in zip(own, rules.bands.get(kind) or rules.bands["other"])))
+        out = [part.column(0), n_words, chars, symbols, dups, n_repeat, part.column(2), kinds, *measures, failed, inside]
+        return pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(out, _TYPES)], _NAMES)
 
     return columns(docs, "doc_id", "text", "lang").mapInArrow(rows, SCHEMA)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,24 +30,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces:
-    """Ids of byte strings as uint32 bytes; `encode(list of str)` runs for those not seen yet."""
-
-    def __init__(self, encode, limit: int = CACHE_BESIDE):
-        self.encode, self.limit, self.known = encode, limit, {}
-
-    def add(self, pieces) -> dict:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for piece, ids in zip(part, self.encode([p.decode() for p in part])):
-                self.known[piece] = array("I", ids).tobytes()
-        return self.known
-
-
 class _Column:
     """A growing array."""
 
@@ -176,12 +157,12 @@ def _word_store(path: str) -> WordStore:
     return WordStore(encode, 1, CACHE_WORDS)
 
 
-def _lots(words: list[bytes], join: list[bool]) -> Iterator[list[int]]:
+def _lots(words: list[bytes], join: list[bool], size: int = _LOT) -> Iterator[list[int]]:
     """Numbers of the words that may be encoded together, ASCII ones apart from others."""
     for ascii_ in (True, False):
         own = [i for i, (w, j) in enumerate(zip(words, join)) if j and w.isascii() == ascii_]
-        for at in range(0, len(own), _LOT):
-            yield own[at : at + _LOT]
+        for at in range(0, len(own), size):
+            yield own[at : at + size]
 
 
 def in_order(parts: list[tuple[np.ndarray, np.ndarray]], order: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -311,17 +292,29 @@ def piece_model(path: str):
 
 
 @lru_cache(None)
-def piece_words(path: str) -> Pieces:
-    """Ids of single words under a vocabulary with byte fallback (`piece_bpe_32k.model`)."""
-    model = piece_model(path)
-    return Pieces(lambda texts: model.encode(texts, num_threads=1))
+def pair_store(piece_path: str, rank_path: str) -> WordStore:
+    """Ids of single words under a vocabulary with byte fallback (`piece_bpe_32k.model`), and, each with a space before it,
+    under a vocabulary with ranks. The empty word has none."""
+    model, encode_whole = piece_model(piece_path), rank_encoding(rank_path).encode_ordinary
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    piece_size = np.array([1 if model.is_byte(i) else len(p.replace("\u2581", " ").encode()) for i, p in enumerate(pieces)], np.int64)
+    rank_size = np.array([len(rank_encoding(rank_path).decode_single_token_bytes(i)) for i in range(rank_encoding(rank_path).n_vocab)], np.int64)
 
+    def encode(words: list[bytes]):
+        join = [bool(w) and not _ODD_SPACE.search(text := w.decode()) and "\u2581" not in text for w in words]
+        sides, order = [[], []], []
+        for lot in _lots(words, join, 100):
+            joined, lengths = b" ".join([words[i] for i in lot]).decode(), [len(words[i]) + 1 for i in lot]
+            sides[0].append(split_ids(np.array(model.encode(joined), np.uint32), piece_size, lengths))
+            sides[1].append(split_ids(np.array(encode_whole(" " + joined), np.uint32), rank_size, lengths))
+            order += lot
+        rest = [i for i, j in enumerate(join) if not j]
+        texts = [words[i].decode() for i in rest]
+        for side, alone in zip(sides, (model.encode(texts, num_threads=1), [encode_whole(" " + t) if t else [] for t in texts])):
+            side.append((np.array([x for own in alone for x in own], np.uint32), np.array([len(x) for x in alone], np.int64)))
+        return [in_order(side, order + rest) for side in sides]
 
-@lru_cache(None)
-def rank_words(path: str) -> Pieces:
-    """Ids of single words, each with the space before it, under a vocabulary with ranks."""
-    encode = rank_encoding(path).encode_ordinary
-    return Pieces(lambda texts: [encode(" " + t) for t in texts])
+    return WordStore(encode, 2, CACHE_BESIDE)
 
 
 def with_ends(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
