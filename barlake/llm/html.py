@@ -36,6 +36,10 @@ NOISE = re.compile(
     r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|widget\w*|related|recommend\w*|share|sharing|social|footer|masthead|"
     r"comments?|disqus|replies|respond|login|signup|search\w*|toolbar|pagination|pager|skip-link|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
+#: One of these names as a whole class or id marks the element itself; inside a longer name it may only describe a page layout.
+WHOLE = re.compile(rf"(?:{NOISE.pattern[len('(?:^|[^a-z])(?:') : -len(')(?:$|[^a-z])')]})")
+COMMENT = re.compile(r"(?:^|[^a-z])(?:comments?|replies|reply|respond|disqus)(?:$|[^a-z])")
+SENTENCE = re.compile(r"[.!?\u2026\u3002][\"'\u201d\u2019)\]]*$")
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Blocks that hold prose: their short lines are part of a marked article.
 PROSE = frozenset("article blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li main p pre td th".split())
@@ -45,32 +49,46 @@ SPACES = re.compile(r"\s+")
 
 @dataclass
 class Line:
-    """A run of text: tags since the line before, boilerplate or not, number of its article or main region (0: none).
+    """A run of text outside boilerplate: tags since the text before, number of its article or main region (0: none).
 
     `block` is the innermost open block, `linked` the share of its characters inside links, `inline` the inline tags in it.
     """
 
     text: str
     tags: int
-    bad: bool
     region: int
     block: str
     linked: float
     inline: int
 
 
+@dataclass
+class Open:
+    """An open element: `strong` boilerplate whatever it holds, `weak` unless it holds an article or main region.
+
+    `outer` is the count of weak marks around a region, which do not count inside it.
+    """
+
+    tag: str
+    strong: bool
+    weak: bool
+    region: bool
+    outer: int
+
+
 class Lines(HTMLParser):
-    """Lines of a page from the parser's events."""
+    """Lines of a page from the parser's events. Text inside boilerplate never joins a line around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []
+        self.open: list[Open] = []
         # Places in `open` of each tag's open elements, and of the open blocks.
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
-        self.bad = self.depth = self.regions = self.region = self.tags = 0
+        self.strong = self.weak = self.depth = self.regions = self.region = self.tags = 0
         self.held: list[str] = []
+        self.noise = False
         self.linked = self.inline = 0
         self.link = False
 
@@ -78,11 +96,13 @@ class Lines(HTMLParser):
         text = SPACES.sub(" ", "".join(self.held)).strip()
         self.held = []
         if text:
-            block = self.open[self.blocks[-1]][0] if self.blocks else ""
+            block = self.open[self.blocks[-1]].tag if self.blocks else ""
             linked = self.linked / len(SPACES.sub("", text)) if self.linked else 0.0
-            self.lines.append(Line(text, self.tags, self.bad > 0, self.region if self.depth else 0, block, linked, self.inline))
+            self.lines.append(Line(text, self.tags, self.region if self.depth else 0, block, linked, self.inline))
+        if text or self.noise:
             self.tags = 0
         self.linked = self.inline = 0
+        self.noise = False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -94,35 +114,41 @@ class Lines(HTMLParser):
             self.inline += 1
         if tag in ENDS_P:
             self._close_paragraph()
-        elif tag in ("li", "td", "th", "tr", "option", "dt", "dd") and self.open and self.open[-1][0] == tag:
+        elif tag in ("li", "td", "th", "tr", "option", "dt", "dd") and self.open and self.open[-1].tag == tag:
             self._pop()
-        marks = tag in ("article", "main")
-        noisy = tag in SKIPPED or (tag == "header" and self.depth == 0) or any(
-            value and name in ("class", "id", "role", "aria-label") and NOISE.search(value.lower()) for name, value in attrs
-        ) or any(name == "hidden" for name, _ in attrs)
-        if noisy and tag in ("article", "main", "body", "html"):
-            noisy = False
-        if marks:
+        names = [value.lower() for name, value in attrs if value and name in ("class", "id", "role", "aria-label")]
+        region = (tag in ("article", "main") or "main" in [v.lower() for n, v in attrs if n == "role" and v]) and not any(COMMENT.search(n) for n in names)
+        noisy = any(NOISE.search(n) for n in names)
+        strong = tag in SKIPPED and tag != "form" or tag == "header" and self.depth == 0 or any(name == "hidden" for name, _ in attrs)
+        strong |= tag == "article" and not region or noisy and any(WHOLE.fullmatch(word) for n in names for word in n.split())
+        weak = tag == "form" or noisy
+        if region or tag in ("body", "html"):
+            strong = weak = False
+        outer = self.weak
+        if region:
             if not self.depth:
                 self.regions += 1
                 self.region = self.regions
             self.depth += 1
-        self.bad += noisy
+            self.weak = 0
+        self.strong += strong
+        self.weak += weak
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCKS:
             self.blocks.append(len(self.open))
-        self.open.append((tag, noisy, marks))
+        self.open.append(Open(tag, strong, weak, region, outer))
         if tag == "a":
             self.link = any(name == "href" for name, _ in attrs)
 
     def _pop(self):
-        tag, noisy, marks = self.open.pop()
-        self.places[tag].pop()
-        if tag in BLOCKS:
+        last = self.open.pop()
+        self.places[last.tag].pop()
+        if last.tag in BLOCKS:
             self.blocks.pop()
-        self.bad -= noisy
-        self.depth -= marks
-        if tag == "a":
+        self.strong -= last.strong
+        self.weak = last.outer
+        self.depth -= last.region
+        if last.tag == "a":
             self.link = False
 
     def _pop_to(self, place):
@@ -131,7 +157,7 @@ class Lines(HTMLParser):
 
     def _close_paragraph(self):
         """A block start closes an open paragraph with the inline elements left open in it."""
-        if self.blocks and self.open[self.blocks[-1]][0] == "p":
+        if self.blocks and self.open[self.blocks[-1]].tag == "p":
             self._pop_to(self.blocks[-1])
 
     def handle_startendtag(self, tag, attrs):
@@ -149,6 +175,9 @@ class Lines(HTMLParser):
             self._pop_to(self.places[tag][-1])
 
     def handle_data(self, data):
+        if self.strong or self.weak:
+            self.noise |= not data.isspace()
+            return
         self.held.append(data)
         if self.link:
             self.linked += len(SPACES.sub("", data))
@@ -173,14 +202,15 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 def _marked(lines: list[Line], above: np.ndarray, own: np.ndarray) -> list[bool]:
     """Which lines of one marked region stay; none where no line is content.
 
-    A line mostly of links, or outside prose with more inline tags than words, must reach the threshold by its `own`
+    A line mostly of links that is no sentence of its own, or outside prose with more inline tags than words, must reach the threshold by its `own`
     ratio, as smoothing lifts it beside a long paragraph. The other lines are content if they are `above`. Of those that
     are not, lines of prose blocks stay, and others between content lines. A heading goes with what it heads: it is
     dropped if it leads two or more dropped lines or none but dropped ones, or is a link that leads no kept text; the
     page's own heading (h1) stays.
     """
     heads = [line.block in HEADINGS for line in lines]
-    loose = [not head and (line.linked > 0.5 or line.block not in PROSE and line.inline > len(line.text.split())) for head, line in zip(heads, lines)]
+    linked = [line.linked > 0.5 and not (line.block == "p" and SENTENCE.search(line.text)) for line in lines]
+    loose = [not head and (links or line.block not in PROSE and line.inline > len(line.text.split())) for head, links, line in zip(heads, linked, lines)]
     content = [bool(o if l else a) for a, o, l in zip(above, own, loose)]
     body = [k for k, c in enumerate(content) if c and not heads[k]]
     if not body:
@@ -203,7 +233,7 @@ def main_text(html: str, sigma: float = 1.0, share: float = 0.25) -> str:
 
     The threshold is `share` of the smoothed ratios' standard deviation (of their mean where all are alike).
     """
-    lines = [line for line in page_lines(html) if not line.bad]
+    lines = page_lines(html)
     if any(line.region for line in lines):
         lines = [line for line in lines if line.region]
     if not lines:
