@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.catalog.base import query, scratch
@@ -13,12 +13,12 @@ from barlake.plans import jobs
 from barlake.sources.files import CSV_COLUMNS, export_csv
 from barlake.sources.tables import PARTITION, Lake, with_partition
 from barlake.streaming import bars as sb
-from barlake.streaming import ingest, sinks, sources
+from barlake.streaming import ingest, sinks, sources, state
 
 _LAST = "SELECT * FROM f3 QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY batch_seq DESC) = 1"
 _OHLCV = "symbol timestamp:t open:4 high:4 low:4 close:4 volume:4"
-#: All files of a landing folder in one micro-batch: results do not depend on the order in which files are listed.
-ALL_FILES = 1_000_000
+#: Landings of a bounded stream, each a micro-batch of its own.
+LANDINGS = 5
 
 
 def _lake(t) -> Lake:
@@ -33,24 +33,58 @@ def _landed(t) -> Lake:
     return lake
 
 
-def _stream(t, df: DataFrame) -> DataFrame:
-    folder = scratch(t.spark, "landing")
-    df.write.parquet(folder)
-    return sources.bar_files(t.spark, folder, df.schema, ALL_FILES)
-
-
 def _wait(running) -> None:
     running.awaitTermination()
     if running.exception() is not None:
         raise running.exception()
 
 
-def _streamed(t, df: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows that the streaming operator `build` appends to a table over all of `df`."""
-    out, folder = build(_stream(t, df)), scratch(t.spark, "stream")
-    writer = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-    _wait(writer.outputMode("append").trigger(availableNow=True).start())
-    return t.spark.read.schema(out.schema).parquet(f"{folder}/rows")
+def _full(bars: DataFrame) -> DataFrame:
+    """Bars with all columns that Bronze asks for."""
+    return bars.withColumns({"adj_close": F.col("close"), "source": F.lit("events"), "ingestion_time": F.lit("2024-02-01").cast("timestamp")})
+
+
+def _sliced(df: DataFrame, late: Column | None = None, landings: int = LANDINGS) -> DataFrame:
+    """Rows with the number of the landing (`_landing`) that brings them: equal spans of time in order.
+
+    Rows for which `late` holds come one landing after their own.
+    """
+    low, high = df.agg(F.unix_micros(F.min("timestamp").cast("timestamp")), F.unix_micros(F.max("timestamp").cast("timestamp"))).first()
+    if low is None:
+        return df.withColumn("_landing", F.lit(0))
+    share = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.lit(low)) / F.lit(high - low + 1)
+    own = F.floor(share * landings).cast("int")
+    return df.withColumn("_landing", own if late is None else F.least(own + F.when(late, 1).otherwise(0), F.lit(landings - 1)))
+
+
+def _land(t, sliced: DataFrame, start: Callable, again: bool = False, landings: int = LANDINGS) -> None:
+    """Land the slices one by one; after each, `start(stream)` runs a query to its end, which is a restart from its checkpoint.
+
+    With `again` each landing brings the rows of the one before once more.
+    """
+    folder, table = scratch(t.spark, "landing"), scratch(t.spark, "sliced")
+    sliced.write.parquet(table)
+    rows = t.spark.read.schema(sliced.schema).parquet(table)
+    for k in range(landings):
+        part = rows.filter(F.col("_landing").between(k - 1, k) if again else F.col("_landing") == k).drop("_landing")
+        part.write.mode("append").parquet(folder)
+        _wait(start(sources.bar_files(t.spark, folder, part.schema, sources.WHOLE_LANDING)))
+
+
+def _streamed(t, sliced: DataFrame, build: Callable[[DataFrame], DataFrame], again: bool = False) -> DataFrame:
+    """Rows that the streaming operator `build` appends to a table over all landings."""
+    folder = scratch(t.spark, "stream")
+    schema = None
+
+    def start(stream: DataFrame):
+        nonlocal schema
+        out = build(stream)
+        schema = out.schema
+        writer = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        return writer.outputMode("append").trigger(availableNow=True).start()
+
+    _land(t, sliced, start, again)
+    return t.spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
 query("o_ingest", _BAR + " source", _LAST, "f3")(lambda t: _landed(t).read("bronze"))
@@ -108,12 +142,14 @@ query(
 
 @query("st_loop", _BAR, _SILVER, "f3")
 def st_loop(t):
-    lake = _lake(t)
-    _wait(ingest.start(_stream(t, t.f3), ingest.bar_ingest(lake), scratch(t.spark, "checkpoint"), once=True))
+    """F3 in three landings; a correction comes with the landing of its bar or after it."""
+    lake, checkpoint = _lake(t), scratch(t.spark, "checkpoint")
+    sink = ingest.bar_ingest(lake)
+    _land(t, _sliced(t.f3, F.col("batch_seq") == 1, 3), lambda stream: ingest.start(stream, sink, checkpoint, once=True), landings=3)
     return lake.read("silver")
 
 
-query("st_idemp", _OHLCV, "SELECT * FROM f1", "f1")(lambda t: _streamed(t, t.f1.unionByName(t.f1), sb.once))
+query("st_idemp", _OHLCV, "SELECT * FROM f1", "f1")(lambda t: _streamed(t, _sliced(t.f1), lambda bars: sb.once(bars, "30 days"), again=True))
 query(
     "st_tumble",
     _OHLCV,
@@ -121,7 +157,16 @@ query(
        min(low) AS low, max_by(close, f1.timestamp) AS close, sum(volume) AS volume FROM f1 GROUP BY symbol, date_trunc('day', f1.timestamp))
        WHERE timestamp + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM f1)""",
     "f1",
-)(lambda t: _streamed(t, t.f1, lambda bars: sb.tumble(bars, "1 day", "1 hour")))
+)(lambda t: _streamed(t, _sliced(t.f1), lambda bars: sb.tumble(bars, "1 day", "1 hour")))
+query(
+    "st_late",
+    _OHLCV,
+    """SELECT d.* FROM (SELECT symbol, date_trunc('day', timestamp) AS timestamp, min_by(open, f1.timestamp) AS open, max(high) AS high,
+       min(low) AS low, max_by(close, f1.timestamp) AS close, sum(volume) AS volume FROM f1 GROUP BY symbol, date_trunc('day', f1.timestamp)) d
+       JOIN (SELECT symbol, max(timestamp) AS newest FROM f1 GROUP BY ALL) n ON n.symbol = d.symbol
+       AND d.timestamp + INTERVAL 25 HOUR <= newest""",
+    "f1",
+)(lambda t: state.current_bars(_streamed(t, _sliced(t.f1, F.hour("timestamp") % 6 == 1), lambda bars: state.revised_bars(bars, "1 day", "1 hour"))))
 
 
 @query(
@@ -133,7 +178,7 @@ query(
 )
 def st_alert(t):
     rules = t.f1.groupBy("symbol").agg((F.max("close") / 2).alias("threshold")).withColumn("condition", F.lit("above"))
-    return _streamed(t, t.f1, lambda bars: sb.stream_alerts(bars, rules))
+    return _streamed(t, _sliced(t.f1), lambda bars: sb.stream_alerts(bars, rules))
 
 
 query(
@@ -142,15 +187,62 @@ query(
     """SELECT symbol, timestamp, close, newest_volume FROM f1
        JOIN (SELECT symbol, max_by(volume, timestamp) AS newest_volume FROM f1 GROUP BY ALL) USING (symbol)""",
     "f1",
-)(lambda t: _streamed(t, t.f1, lambda bars: sb.enrich(bars, t.f1.select("symbol", "timestamp", F.col("volume").alias("newest_volume")))))
+)(lambda t: _streamed(t, _sliced(t.f1), lambda bars: sb.enrich(bars, t.f1.select("symbol", "timestamp", F.col("volume").alias("newest_volume")))))
+query("st_hwm", "symbol timestamp:t close:4", "SELECT * FROM f1", "f1")(
+    lambda t: _streamed(t, _sliced(t.f1), state.newer_only, again=True)
+)
 
 
-@query("st_hwm", "symbol timestamp:t close:4", "SELECT * FROM f1", "f1")
-def st_hwm(t):
-    """The second batch delivers all bars again; only those after the first one's pass."""
-    lake = _lake(t)
-    sink = ingest.only_new(lake, lambda rows, _: lake.append("new", rows))
-    half = t.f1.agg(F.timestamp_seconds((F.unix_seconds(F.min("timestamp")) + F.unix_seconds(F.max("timestamp"))) / 2).alias("half"))
-    sink(t.f1.join(half, F.col("timestamp") < F.col("half")).drop("half"), 0)
-    sink(t.f1, 1)
-    return lake.read_log("new")
+@query(
+    "st_fanin",
+    "family symbol rows:i",
+    """SELECT 'index' AS family, symbol, count(*) AS rows FROM f2 GROUP BY ALL
+       UNION ALL SELECT 'ohlcv', symbol, count(*) FROM f1 GROUP BY ALL""",
+    "f1 f2",
+)
+def st_fanin(t):
+    """Two families with their own streams, checkpoints and tables, started together."""
+    lake, folder = _lake(t), scratch(t.spark, "landing")
+    families = {"ohlcv": _full(t.f1), "index": t.f2}
+    for name, rows in families.items():
+        rows.write.parquet(f"{folder}/{name}")
+    streams = {name: sources.bar_files(t.spark, f"{folder}/{name}", rows.schema, sources.WHOLE_LANDING) for name, rows in families.items()}
+    for running in ingest.start_families(lake, streams, scratch(t.spark, "checkpoints")).values():
+        _wait(running)
+    bars = lake.read("bronze").select("symbol").withColumn("family", F.lit("ohlcv"))
+    index = lake.read_log("bronze_index").select("symbol").withColumn("family", F.lit("index"))
+    return bars.unionByName(index).groupBy("family", "symbol").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "st_callback",
+    "symbol bars:i newest:t",
+    "SELECT symbol, count(*) AS bars, max(timestamp) AS newest FROM f1 GROUP BY ALL",
+    "f1",
+)
+def st_callback(t):
+    """A user hook gets every batch, although another hook fails each time."""
+    lake, checkpoint = _lake(t), scratch(t.spark, "checkpoint")
+
+    def broken(batch, batch_id):
+        raise RuntimeError("a hook that always fails")
+
+    hooks = [broken, lambda batch, batch_id: lake.append("seen", batch.select("symbol", "timestamp"))]
+    sink = ingest.bar_ingest(lake, hooks)
+    _land(t, _sliced(_full(t.f1), landings=2), lambda stream: ingest.start(stream, sink, checkpoint, once=True), landings=2)
+    return lake.read("seen").groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("timestamp").alias("newest"))
+
+
+@query("st_poll", "symbol timestamp:t close:4", "SELECT symbol, timestamp, close FROM f1", "f1")
+def st_poll(t):
+    """A polling query that runs on while files land, stopped once it has taken all of them."""
+    folder, out = scratch(t.spark, "landing"), scratch(t.spark, "stream")
+    t.f1.write.parquet(folder)
+    rows = sources.bar_files(t.spark, folder, t.f1.schema, sources.WHOLE_LANDING)
+    sink = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+    running = ingest.start(rows, sink, f"{out}/checkpoint", every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return t.spark.read.parquet(f"{out}/rows").select("symbol", "timestamp", "close")

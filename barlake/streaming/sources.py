@@ -42,6 +42,10 @@ def bar_files(spark: SparkSession, path: str, schema: T.StructType = BAR, per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+#: Files per batch where a batch is all that has landed so far.
+WHOLE_LANDING = 2**31 - 1
+
+
 # Every field is read as text first, so that one bad number does not lose the message.
 _MESSAGE = T.StructType(
     [T.StructField(c, T.StringType()) for c in BAR_COLUMNS]
