@@ -154,6 +154,36 @@ def w_regime(t):
     return features.market_regime(t.f1)
 
 
+@query(
+    "w_regime_expanding",
+    "symbol timestamp:t volatility_actual regime",
+    """SELECT symbol, timestamp, CASE WHEN volatility_actual IS NOT NULL THEN coalesce(volatility_20d > q, false) END AS volatility_actual,
+       CASE WHEN volatility_actual IS NULL THEN NULL WHEN NOT trend_bull AND volatility_20d > q THEN 'bear_high_vol' WHEN NOT trend_bull THEN 'bear_low_vol'
+       WHEN trend_strong AND volatility_20d > q THEN 'bull_high_vol' WHEN trend_strong THEN 'bull_low_vol' ELSE 'neutral' END AS regime
+       FROM (SELECT *, quantile_cont(volatility_20d, 0.75) OVER (PARTITION BY symbol ORDER BY timestamp) AS q FROM f1reg)""",
+    "f1reg",
+)
+def w_regime_expanding(t):
+    """The threshold of each bar is the quantile of the bars up to it."""
+    return features.market_regime(t.f1, mode="expanding")
+
+
+@query(
+    "j_macro_gaps",
+    "symbol timestamp:t usd_vnd:2 gold_usd_oz:2",
+    """SELECT symbol, b.timestamp, usd_vnd, gold_usd_oz FROM f2 b ASOF LEFT JOIN (
+       SELECT timestamp, last_value(u IGNORE NULLS) OVER w AS usd_vnd, last_value(g IGNORE NULLS) OVER w AS gold_usd_oz FROM (
+       SELECT timestamp, CASE WHEN month(timestamp) % 3 <> 0 THEN usd_vnd END AS u, CASE WHEN month(timestamp) % 2 = 0 THEN gold_usd_oz END AS g FROM macro)
+       WINDOW w AS (ORDER BY timestamp)) m ON b.timestamp >= m.timestamp""",
+    "f2 macro",
+)
+def j_macro_gaps(t):
+    """Macro rows with gaps: a missing newest value takes the one before it."""
+    month = F.month("timestamp")
+    gaps = t.macro.withColumns({"usd_vnd": F.when(month % 3 != 0, F.col("usd_vnd")), "gold_usd_oz": F.when(month % 2 == 0, F.col("gold_usd_oz"))})
+    return features.add_macro(t.f2, gaps)
+
+
 @query(
     "j_macro",
     "symbol timestamp:t usd_vnd:2 gold_usd_oz:2 wti_usd_barrel:2 fx_adjusted_close:4 macro_normalized:4",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.plans.quantile import exact_quantile
+from barlake.plans.running import running_quantile
 from barlake.plans.series import POS, TOTAL, Blocks, as_of, series
 
 # Macro inputs used where no macro table is given.
@@ -93,11 +94,12 @@ def add_regime_inputs(b: Blocks, lookback: int = 20) -> Blocks:
 
 
 def add_regime(rows: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Regime flags and labels; `threshold` holds the 0.75 volatility quantile per symbol."""
+    """Regime flags and labels; `threshold` holds the volatility quantile (`quantile`) per symbol, or per symbol and time."""
     enough = F.col("_enough")
     flag = lambda c: F.when(enough, F.coalesce(c, F.lit(False)))
     close, sma20, sma50 = F.col("close"), F.col("sma_20"), F.col("sma_50")
-    rows = rows.join(threshold.withColumnRenamed("quantile", "_q75"), "symbol", "left").withColumns(
+    on = [c for c in threshold.columns if c != "quantile"]
+    rows = rows.join(threshold.withColumnRenamed("quantile", "_q75"), on, "left").withColumns(
         {
             "volatility_actual": flag(F.col("volatility_20d") > F.col("_q75")),
             "trend_bull": flag(close > sma20),
@@ -122,10 +124,18 @@ def volatility_threshold(rows: DataFrame) -> DataFrame:
     return exact_quantile(rows, "volatility_20d", 0.75)
 
 
-def market_regime(bars: DataFrame, lookback: int = 20, **cut) -> DataFrame:
-    """Regime columns of all symbols; the volatility threshold is the full-sample quantile."""
+def market_regime(bars: DataFrame, lookback: int = 20, mode: str = "full_sample", **cut) -> DataFrame:
+    """Regime columns of all symbols.
+
+    The volatility threshold is the 0.75 quantile of the full sample, which looks ahead, or with mode="expanding" that
+    of the bars up to each bar.
+    """
     rows = add_regime_inputs(series(bars, before=max(lookback + 1, 50), **cut), lookback).rows()
-    return add_regime(rows, volatility_threshold(rows))
+    if mode == "full_sample":
+        return add_regime(rows, volatility_threshold(rows))
+    if mode != "expanding":
+        raise ValueError(f"unknown mode {mode}")
+    return add_regime(rows, running_quantile(rows, "volatility_20d", 0.75, bucket=cut.get("bucket", "day")))
 
 
 def add_macro(bars: DataFrame, macro: DataFrame | None = None) -> DataFrame:

@@ -296,14 +296,16 @@ def as_of(
     on: str = "timestamp",
     right_on: str = "timestamp",
 ) -> DataFrame:
-    """Backward as-of join of every left row with the newest right row not after it.
+    """Backward as-of join: each column's newest non-null value of the right rows not after the left row.
 
-    `right` is one series (one row per time). Each right row is valid until the next one; the
+    `right` is one series (one row per time); values are carried over its nulls by a block scan first. Each right row is valid until the next one; the
     validity is cut into calendar days, which makes the match an equi-join on the day plus a range
     test, with no ordered pass over the left side. The right side grows to one row per day at least.
     """
     horizon = left.agg(F.max(on)).scalar()
     side = right.select(F.lit(0).alias("_series"), F.col(right_on).alias("_from"), *values)
+    carried = scan(series(side, keys=["_series"], order="_from"), {f"_f_{v}": ("last", F.col(v)) for v in values}).rows()
+    side = carried.select("_series", "_from", *[F.col(f"_f_{v}").alias(v) for v in values])
     b = series(side, after=1, keys=["_series"], order="_from")
     side = b.add({"_to": b.lead("_from")}).core().df.select("_from", "_to", *values)
     last = F.greatest(F.to_date("_from"), F.to_date(F.coalesce(F.col("_to"), horizon)))
