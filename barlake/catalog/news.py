@@ -311,3 +311,16 @@ query(
        count(*) FILTER (sentiment < -0.2) AS negative_count FROM sn GROUP BY symbol""",
     "sn",
 )(lambda t: nw.article_totals(_by_symbol(t)))
+
+
+@query(
+    "x_sent",
+    "doc_id:i sentiment:6 positive_signals:i negative_signals:i",
+    """SELECT doc_id, p AS positive_signals, n AS negative_signals, CASE WHEN p + n > 0 THEN (p - n) / CAST(p + n AS DOUBLE) ELSE 0 END AS sentiment
+       FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'und'))) AS p, len(list_filter(w, lambda x: x IN ('la', 'de'))) AS n
+       FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents))""",
+)
+def x_sent(t):
+    """Scores by word lists of the user's own."""
+    own = tx.Lexicon(positive=frozenset(["the", "und"]), negative=frozenset(["la", "de"]))
+    return tx.add_sentiment(t.table("documents"), "text", own)

@@ -137,6 +137,52 @@ query(
     "f1 f2",
 )(lambda t: sinks.all_messages({"ohlcv": t.f1, "index": t.f2}).groupBy("topic", "key").agg(F.count("value").alias("messages")))
 
+
+
+@query(
+    "o_prefix",
+    "symbol timestamp:t close:4",
+    "SELECT symbol, timestamp, close FROM f1 WHERE symbol = (SELECT min(symbol) FROM f1) AND timestamp >= TIMESTAMP '2024-01-10'",
+    "f1",
+)
+def o_prefix(t):
+    """One symbol's folder of a table, read from a date on."""
+    lake = _lake(t)
+    lake.append("bars", with_partition(t.f1), PARTITION)
+    return lake.read("bars", symbol=t.f1.agg(F.min("symbol")).first()[0], start="2024-01-10")
+
+
+@query("o_files", "symbol year:i month:i empty:i", "SELECT DISTINCT symbol, year(timestamp) AS year, month(timestamp) AS month, 0 AS empty FROM f1", "f1")
+def o_files(t):
+    """File inventory of a layer by partition, with the number of empty files; a layer that is not there has none."""
+    lake = _lake(t)
+    lake.append("bars", with_partition(t.f1), PARTITION)
+    of = lambda part: F.regexp_extract("path", f"{part}=([^/]+)", 1)
+    files = lake.files("bars").unionByName(lake.files("missing"))
+    return files.groupBy(of("symbol").alias("symbol"), of("year").alias("year"), of("month").alias("month")).agg(F.count_if(F.col("length") == 0).alias("empty"))
+
+
+@query("o_ddl", "symbol timestamp:t close:4", "SELECT symbol, timestamp, close FROM f1", "f1")
+def o_ddl(t):
+    """A catalog table over a layer's folder, read by its name."""
+    lake = _lake(t)
+    lake.overwrite_partitions("bars", with_partition(_full(t.f1)))
+    name = "bars_" + lake.root.rsplit("-", 1)[-1]
+    lake.create_table(name, "bars")
+    return t.spark.table(name)
+
+
+@query(
+    "o_run",
+    "symbol status records_processed:i error_count:i",
+    f"SELECT symbol, 'completed' AS status, count(*) AS records_processed, 0 AS error_count FROM ({_SILVER}) GROUP BY symbol",
+    "f3",
+)
+def o_run(t):
+    """Landing, Silver, gate and Gold of all symbols, and the run's record."""
+    return jobs.run(_landed(t), "run-1")
+
+
 # --- bounded streams ---------------------------------------------------------------------------------
 
 

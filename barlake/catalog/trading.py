@@ -68,6 +68,30 @@ backtest_views(
 )
 NEEDS.pop("rsisig")
 
+
+def _breakout(b, params):
+    """Buy above the highest high of the last n bars, sell below their lowest low."""
+    n = int(params.get("window", 20))
+    frame = b.w.rowsBetween(-n, -1)
+    b = b.add({"_top": F.max("high").over(frame), "_low": F.min("low").over(frame), "_full": F.count("close").over(frame) == n})
+    above, below = (F.coalesce(F.col("_full") & c, F.lit(False)) for c in (F.col("close") > F.col("_top"), F.col("close") < F.col("_low")))
+    return b.add({"_raw": F.when(above, 1.0).when(below, -1.0).otherwise(0.0)})
+
+
+@query(
+    "x_strat",
+    "symbol timestamp:t signal:i",
+    """SELECT symbol, timestamp, CASE WHEN n = 20 AND close > top THEN 1 WHEN n = 20 AND close < low THEN -1 ELSE 0 END AS signal FROM (
+       SELECT symbol, timestamp, close, max(high) OVER w AS top, min(low) OVER w AS low, count(close) OVER w AS n FROM f2
+       WINDOW w AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""",
+    "f2",
+)
+def x_strat(t):
+    """A strategy of the user's own, registered by name."""
+    bt.STRATEGIES["channel_breakout"] = bt.Strategy(_breakout, lambda p: int(p.get("window", 20)) + 1)
+    return bt.signals(t.f2, "channel_breakout", {"window": 20})
+
+
 query("w_macross", "symbol timestamp:t signal:i", "SELECT * FROM masig", "masig")(lambda t: bt.signals(t.f2, "ma_crossover"))
 query("w_rsisig", "symbol timestamp:t signal:i", "SELECT * FROM rssig", "rssig")(lambda t: bt.signals(t.f1, "rsi_strategy"))
 query(

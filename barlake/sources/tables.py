@@ -186,6 +186,9 @@ class Lake:
         )
 
     def read_log(self, name: str) -> DataFrame:
+        """Rows of a log; one that was never written is empty."""
+        if not self.exists(name):
+            return self.spark.createDataFrame([], "symbol string, created_at timestamp, run_id string")
         return self.spark.read.parquet(self.path(name))
 
     # maintenance -----------------------------------------------------------------------------------
@@ -208,7 +211,9 @@ class Lake:
         self._sized(old, PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PARTITION).parquet(self.path("bronze"))
 
     def files(self, layer: str) -> DataFrame:
-        """File inventory (path, size, time); file contents are not read."""
+        """File inventory (path, size, time); file contents are not read. A layer that was never written has no files."""
+        if not self.exists(layer):
+            return self.spark.createDataFrame([], "path string, length long, modificationTime timestamp")
         return (
             self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
             .load(self.path(layer)).select("path", "length", "modificationTime")
