@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import columns, stored
+from barlake.llm.common import columns, release, stored
 from barlake.llm.tokens import WordStore, bounds, chunks, distinct, in_order, odd_texts, split_ids
 from barlake.llm.words import slices
 
@@ -315,6 +315,7 @@ def merged(docs: DataFrame, path_a: str, path_b: str, work: int = WORK) -> DataF
                 yield pa.RecordBatch.from_pylist(_merge(piece, words), schema=schema)
         finally:  # workers are used again, and the next task may need the memory
             words.store.clear()
+            release()
 
     return stored(columns(docs, "doc_id", "text").mapInArrow(rows, MERGED), "alignment-merged", "zstd")
 

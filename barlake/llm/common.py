@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,12 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     kinds = {"text": "string", "lang": "string", "source": "string", "html": "string", "url": "string"}
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast(kinds.get(n, "long")).alias(n) for n in names])
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; Python workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barlake.llm.common import columns
+from barlake.llm.common import columns, release
 from barlake.llm.words import NON_ALNUM, cut, run_hashes, slices, word_hashes
 
 WINDOW = 13
@@ -228,5 +228,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, hits in scan(batch.column(at), shared):
                 yield batch.slice(a, b - a).filter(pa.array(~hits.contaminated()))
+        release()
 
     return docs.mapInArrow(rows, docs.schema)

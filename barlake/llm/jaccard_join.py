@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.llm.common import columns, stored
+from barlake.llm.common import columns, release, stored
 from barlake.llm.components import components
 from barlake.llm.words import SPACE, cut, mix, run_hashes, slices, word_hashes
 
@@ -187,6 +187,7 @@ def shared_sets(docs: DataFrame) -> DataFrame:
                     ids, sets, used, number = [], [], 0, number + 1
         if ids:
             yield _chunk_messages(task << 24 | number, ids, sets, parts)
+        release()
 
     sent = rows.mapInArrow(chunks, MESSAGE)
     answers = sent.groupBy("key").applyInArrow(_count_part, MESSAGE)

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import columns, stored
+from barlake.llm.common import columns, release, stored
 from barlake.llm.words import slices
 
 PIECES_PER_TASK = 200_000
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A number of its own for each row of the stored pieces.
 PLACED = PIECE + ", place long"
@@ -52,6 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
             places = pa.array(np.arange(place, place + len(out[0])))
             place += len(out[0])
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(out, kinds)], places], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
+        release()
 
     return columns(docs, "doc_id", "text").mapInArrow(rows, PLACED)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import columns, stored
+from barlake.llm.common import columns, release, stored
 from barlake.llm.words import SPACE, buffers, cut, mix, run_hashes, slices, word_hashes
 
 
@@ -142,6 +142,7 @@ def measure(docs: DataFrame, rules: Rules | None = None, inner: int = 2_000_000)
                     yield _rows(batch.slice(a, b - a), store, bytes_)
         finally:  # workers are used again, and the next task may need the memory
             store.clear()
+            release()
 
     def _rows(part, store, bytes_):
         column = part.column(1).cast(pa.string()).fill_null("")

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import columns, shared_folder
+from barlake.llm.common import columns, release, shared_folder
 from barlake.llm.words import mix, slices
 
 SHARD_IDS = 4_000_000
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 KEYS_PER_BUCKET = 4
 DIRECT = 1 << 31
 
@@ -174,6 +174,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
                     begin = end
         if ids:
             yield shard()
+        release()
 
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = columns(docs, "doc_id", "text")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from barlake.llm.words import SPACE, buffers, cut
 
 #: Pieces kept per vocabulary and worker: about 200 bytes each. Vocabularies that are used side by side keep fewer.
-CACHE_WORDS, CACHE_BESIDE = 900_000, 400_000
+CACHE_WORDS, CACHE_BESIDE = 300_000, 200_000
 
 
 def vocabulary(name: str) -> str:
