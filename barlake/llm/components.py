@@ -13,10 +13,10 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    near = _both(edges)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = _both(edges).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    up = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     # both sides are dealt by u already, so sending one of them to all tasks would save nothing
-    return near.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return up.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
