@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from barlake.operators.quality import conform, keep_last
 from barlake.operators.select import in_range, of_symbol
 
 PARTITION = ("symbol", "year", "month")
-LOG_PARTITION = (*PARTITION, "writer", "batch_seq")
 #: A later landing wins, whatever time its rows carry.
 LANDING_ORDER = ("landed_at", "ingestion_time", "batch_seq")
 
@@ -85,6 +85,8 @@ BARS = (
     "timestamp timestamp, open double, high double, low double, close double, adj_close double, volume double, source string, "
     "ingestion_time timestamp, symbol string, year int, month int"
 )
+#: What an arrival in the log has besides.
+ARRIVAL = "landed_at timestamp, writer string, batch_seq int"
 
 
 class Lake:
@@ -101,10 +103,16 @@ class Lake:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def read(self, layer: str, symbol: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-        """Rows of a layer; symbol and time range become partition filters. A layer that was never written is empty."""
+        """Rows of a layer; symbol and time range become partition filters. A layer without files is empty."""
+        empty = self.spark.createDataFrame([], f"{BARS}, {ARRIVAL}" if layer == "bronze_log" else BARS)
         if not self.exists(layer):
-            return self.spark.createDataFrame([], BARS)
-        df = self.spark.read.option("basePath", self.path(layer)).parquet(self.path(layer))
+            return empty
+        try:
+            df = self.spark.read.option("basePath", self.path(layer)).parquet(self.path(layer))
+        except AnalysisException as error:  # the folder is there, but the last file is gone
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return empty
         df = df if symbol is None else of_symbol(df, symbol)
         ym = F.col("year") * 12 + F.col("month") if {"year", "month"} <= set(df.columns) else None
         for bound, op in ((start, "ge"), (end, "le")):
@@ -133,22 +141,34 @@ class Lake:
     def append_bronze(self, bars: DataFrame, batch_seq: int, lineage: dict[str, str] | None = None, writer: str = "batch") -> dict[str, int]:
         """Land one batch: every arrival goes to `bronze_log`, the touched partitions of `bronze` are upserted.
 
-        A batch is known by its writer and number, so writers do not replace each other's batches. Rerunning a batch
-        overwrites its own log partition and keeps its first landing time, so a retry adds nothing twice and does not
-        overtake later batches. Returns the rows received, written (distinct keys) and duplicates, and the partitions.
+        A batch is known by its writer and number, so writers do not replace each other's batches. It has a folder of its
+        own in the log, which a rerun replaces as a whole, with the first landing time kept: a retry adds nothing twice,
+        leaves nothing behind and does not overtake later batches. Returns the rows received, written (distinct keys) and
+        duplicates, and the partitions.
         """
         own = (F.col("writer") == writer) & (F.col("batch_seq") == batch_seq)
-        before = self.read("bronze_log").filter(own).agg(F.min("landed_at")).first()[0] if self.exists("bronze_log") else None
+        earlier = self.read("bronze_log").filter(own)
+        before = earlier.agg(F.min("landed_at")).first()[0]
+        if before is not None:
+            # noted before the batch is replaced: a run that ends half-way still knows the months which its rows have left
+            named = {"writer": F.lit(writer), "batch_seq": F.lit(batch_seq)}
+            self.append("bronze_left", earlier.select(*PARTITION).distinct().withColumns(named), ("writer", "batch_seq"))
         landed_at = F.current_timestamp() if before is None else F.lit(before)
-        rows = conform(bars).withColumn("ingestion_time", F.coalesce("ingestion_time", F.current_timestamp()))
-        named = {"writer": F.lit(writer), "batch_seq": F.lit(batch_seq), "landed_at": landed_at}
-        self.overwrite_partitions("bronze_log", with_partition(rows).withColumns(named), LOG_PARTITION)
+        rows = conform(bars).withColumns({"ingestion_time": F.coalesce("ingestion_time", F.current_timestamp()), "landed_at": landed_at})
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        folder = f"{self.path('bronze_log')}/writer={escape(writer)}/batch_seq={batch_seq}"
+        self._sized(with_partition(rows), PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            *PARTITION
+        ).parquet(folder)
         log = self.read("bronze_log")
         landed = log.filter(own)
         # The log is the source of the current view, so no partition is read while it is rewritten;
         # the semi join on partition columns reads the touched months only.
-        arrivals = log.join(landed.select(*PARTITION).distinct(), list(PARTITION), "left_semi")
+        touched = self.touched(batch_seq, writer)
+        arrivals = log.join(touched, list(PARTITION), "left_semi")
         self.overwrite_partitions("bronze", keep_last(arrivals, order=LANDING_ORDER).drop("writer", "landed_at"))
+        if before is not None:
+            self.clear_stale("bronze", arrivals.select("symbol", "timestamp"), touched)
         note = {"layer": "bronze", "writer": writer, "batch_seq": str(batch_seq), **(lineage or {})}
         self.log("lineage", landed.groupBy("symbol").agg(F.count(F.lit(1)).alias("records_received")).withColumn(
             "lineage", F.to_json(F.create_map(*[F.lit(x) for kv in note.items() for x in kv]))
@@ -159,6 +179,14 @@ class Lake:
         received, written = total["received"] or 0, total["written"] or 0
         return {"received": received, "written": written, "duplicates": received - written, "partitions": total["partitions"]}
 
+    def touched(self, batch_seq: int, writer: str = "batch") -> DataFrame:
+        """Partitions that hold rows of a batch, or held some before a rerun of it."""
+        own = (F.col("writer") == writer) & (F.col("batch_seq") == batch_seq)
+        parts = self.read("bronze_log").filter(own).select(*PARTITION)
+        if self.exists("bronze_left"):
+            parts = parts.unionByName(self.spark.read.parquet(self.path("bronze_left")).filter(own).select(*PARTITION))
+        return parts.distinct()
+
     def clear_stale(self, layer: str, valid: DataFrame, touched: DataFrame | None = None) -> None:
         """Remove the partitions of a layer (of those touched) that hold no row of `valid` any more."""
         if not self.exists(layer):

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barlake.operators.quality import conform
 from barlake.operators.select import new_rows
 from barlake.plans.jobs import refresh_silver
-from barlake.sources.tables import Lake, with_partition
+from barlake.sources.tables import Lake
 
 log = logging.getLogger(__name__)
 
@@ -40,7 +39,7 @@ def bar_ingest(lake: Lake, hooks: list[Hook] | None = None, first_batch: int = 0
     def write(batch: DataFrame, batch_id: int) -> None:
         seq, who = first_batch + batch_id, writer_of(batch, writer)
         lake.append_bronze(batch, seq, {"source": "stream"}, who)
-        refresh_silver(lake, f"{who}-{seq}", with_partition(conform(batch).select("symbol", "timestamp")))
+        refresh_silver(lake, f"{who}-{seq}", lake.touched(seq, who))
         for hook in hooks or []:
             try:
                 hook(batch, batch_id)

@@ -143,6 +143,27 @@ def test_two_writers_share_a_batch_number(spark, tmp_path):
     assert lake.read("bronze").orderBy("timestamp").toPandas()["close"].tolist() == rows["close"].tolist()
 
 
+def test_rerun_with_other_rows_replaces_the_batch(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = make_bars(4)
+    moved = rows.assign(timestamp=rows["timestamp"] + pd.Timedelta(days=60))
+    lake.append_bronze(batch(spark, rows, "2024-06-01"), 1)
+    lake.append_bronze(batch(spark, make_bars(6, symbols=("MSFT",)), "2024-06-01"), 1, writer="other")
+    jobs.refresh_silver(lake, "a")
+    lake.append_bronze(batch(spark, moved, "2024-06-01"), 1)
+    jobs.refresh_silver(lake, "b", lake.touched(1))
+    for layer in ("bronze_log", "bronze", "silver"):
+        got = lake.read(layer).groupBy("symbol").agg(F.count("close").alias("n"), F.min("timestamp").alias("first")).toPandas()
+        assert dict(zip(got["symbol"], got["n"])) == {"AAPL": 4, "MSFT": 6}, layer
+        assert got.set_index("symbol")["first"]["AAPL"] == moved["timestamp"].min(), layer
+    # a rerun without rows takes the batch away, and other writers' rows stay
+    lake.append_bronze(batch(spark, rows, "2024-06-01").limit(0), 1)
+    assert {r["symbol"] for r in lake.read("bronze").collect()} == {"MSFT"}
+    lake.append_bronze(batch(spark, rows, "2024-06-01").limit(0), 1, writer="other")
+    assert lake.read("bronze").count() == 0 and lake.read("bronze_log").count() == 0
+    assert lake.append_bronze(batch(spark, rows, "2024-06-01"), 2)["written"] == 4
+
+
 def test_emptied_partition_leaves_silver(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     rows = make_bars(30)
