@@ -42,9 +42,10 @@ _CHG = """SELECT *, (close / lag(close) OVER (PARTITION BY symbol ORDER BY times
     (close - open) / open * 100 AS change_from_open FROM f2"""
 query("a_idxchg", "symbol timestamp:t change:4 change_from_open:4", _CHG, "f2")(lambda t: mk.index_changes(t.indices))
 SQL["isum"] = f"""SELECT symbol, max(timestamp) AS timestamp, max_by(close, timestamp) AS close,
-    max_by(change, timestamp) AS change_pct, max_by(volume, timestamp) AS volume, max(high) AS high_52w,
-    min(low) AS low_52w, max_by(prev, timestamp) AS prev_close FROM (SELECT *, lag(close) OVER
-    (PARTITION BY symbol ORDER BY timestamp) AS prev FROM ({_CHG})) GROUP BY symbol"""
+    max_by(change, timestamp) AS change_pct, max_by(volume, timestamp) AS volume, max(high) FILTER (near) AS high_52w,
+    min(low) FILTER (near) AS low_52w, max_by(prev, timestamp) AS prev_close FROM (SELECT *, lag(close) OVER
+    (PARTITION BY symbol ORDER BY timestamp) AS prev,
+    timestamp >= max(timestamp) OVER (PARTITION BY symbol) - INTERVAL 2 YEAR AS near FROM ({_CHG})) GROUP BY symbol"""
 NEEDS["isum"] = ["f2"]
 _ISUM = "timestamp:t close:2 change_pct:4 volume:2 high_52w:2 low_52w:2"
 query("a_idxsum", f"symbol {_ISUM} prev_close:2", "SELECT * FROM isum", "isum")(lambda t: mk.index_summary(t.indices))
@@ -61,8 +62,9 @@ query(
     "a_sector",
     "sector close:2 change_pct:4 year_change_pct:4 volume:2",
     """SELECT symbol AS sector, close, change_pct, (close / first - 1) * 100 AS year_change_pct, volume
-       FROM isum JOIN (SELECT symbol, min_by(close, timestamp) AS first FROM f2 GROUP BY ALL) USING (symbol)""",
-    "isum",
+       FROM isum JOIN (SELECT symbol, min_by(close, timestamp) AS first FROM (SELECT * FROM f2
+       QUALIFY timestamp >= max(timestamp) OVER (PARTITION BY symbol) - INTERVAL 2 YEAR) GROUP BY ALL) USING (symbol)""",
+    "isum f2",
 )(lambda t: mk.sector_performance(t.indices))
 query(
     "a_breadth",

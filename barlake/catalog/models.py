@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlake.catalog import sqlparts  # noqa: F401  (defines the views used below)
-from barlake.catalog.base import query
+from barlake.catalog.base import query, scratch
 from barlake.operators import forecast as fc
+from barlake.plans import jobs
 from barlake.plans.gold import gold_rows
 from barlake.plans.series import series
 from barlake.plans.views import NEEDS, SQL
 from barlake.schemas import FORECAST_FEATURES
+from barlake.sources.tables import Lake
 
 SQL["sp"] = """SELECT *, CASE WHEN rn < CAST(floor(n * 0.7) AS BIGINT) THEN 'train' WHEN rn < CAST(floor(n * 0.7) AS BIGINT)
     + CAST(floor(n * CAST(0.15 AS DOUBLE)) AS BIGINT) THEN 'validation' ELSE 'test' END AS split FROM f2n"""
@@ -121,10 +123,10 @@ NEEDS["ar0"] = ["f2", "f2n"]
 NEEDS["ar1"] = [*NEEDS["ar0"], "ar0"]
 NEEDS["artrain"] = [*NEEDS["ar1"], "ar1"]
 _solver("arw", "artrain", _AR, "y")
-SQL["arpath"] = f"""SELECT a.symbol, 0 AS step, close AS level, [y, y1, y2, y3, y4] AS ys, w FROM ar1 a JOIN arw ON a.symbol = arw.symbol
+SQL["arpath"] = f"""SELECT a.symbol, 0 AS step, close AS level, [y, y1, y2, y3, y4] AS ys, w, n - floor(n * CAST(0.7 AS DOUBLE)) AS steps FROM ar1 a JOIN arw ON a.symbol = arw.symbol
     WHERE rn = CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) - 1
     UNION ALL SELECT symbol, step + 1, level + {' + '.join(f'w[{i}] * ys[{i}]' for i in range(1, 6))},
-    [{' + '.join(f'w[{i}] * ys[{i}]' for i in range(1, 6))}, ys[1], ys[2], ys[3], ys[4]], w FROM arpath WHERE step < 2000"""
+    [{' + '.join(f'w[{i}] * ys[{i}]' for i in range(1, 6))}, ys[1], ys[2], ys[3], ys[4]], w, steps FROM arpath WHERE step <= steps"""
 SQL["artest"] = """SELECT t.symbol, t.timestamp, t.close AS actual, p.level AS predicted,
     CASE WHEN p.step = 1 THEN s.close ELSE t.before END AS previous
     FROM ar1 t JOIN ar1 s ON s.symbol = t.symbol AND s.rn = CAST(floor(t.n * CAST(0.7 AS DOUBLE)) AS BIGINT) - 1
@@ -163,6 +165,25 @@ query(
 )(lambda t: fc.train_linear(_gold(t))["runs"])
 
 
+@query(
+    "m_reg",
+    _RUN + " run_id",
+    "SELECT *, 'second' AS run_id FROM (" + _run_sql(
+        "linear_regression",
+        "SELECT symbol, target_close_next AS actual, predicted, close AS previous FROM ols WHERE split = 'test'",
+        "sup",
+    ) + ")",
+    "ols",
+)
+def m_reg(t):
+    """The newest stored run of each model after two trainings."""
+    lake = Lake(t.spark, scratch(t.spark, "lake"))
+    lake.write_layer("gold", _gold(t))
+    for run in ("first", "second"):
+        jobs.train(lake, run)
+    return jobs.trained_models(lake)
+
+
 @query(
     "m_pred",
     "symbol timestamp:t actual:2 predicted:e5",

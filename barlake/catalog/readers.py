@@ -98,6 +98,23 @@ query(
 )(lambda t: flatten_book(pl.book_snapshots(_books(t))))
 
 
+def _prints(t):
+    """One payload per order and symbol with its trades, seven at most."""
+    entry = F.struct(
+        F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("Time"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("Price"),
+        F.col("l_quantity").cast("long").alias("Volume"),
+        F.when(F.col("l_linestatus") == "O", "KL").otherwise("TT").alias("Type"),
+    )
+    orders = t.table("lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("symbol")).agg(F.collect_list(entry).alias("Data"))
+    return orders.select("symbol", F.to_json(F.struct("Data")).alias("payload"))
+
+
+query("o_prints", "symbol timestamp:t price:4 volume:i side", "SELECT * FROM trades", "trades")(
+    lambda t: pl.trade_rows(_prints(t), "2024-02-01")
+)
+
+
 def _statements(t):
     """Quarterly totals of each order priority as an income statement payload."""
     q = t.table("orders").groupBy(
@@ -242,8 +259,7 @@ _CELLS = """SELECT n_name || ' USD' AS label, CASE WHEN n_nationkey % 7 = 0 THEN
         NULL AS unit FROM ({_CELLS})
         UNION ALL SELECT 'gold', label, first, 'VND/luong' FROM ({_CELLS}) WHERE first <> 0 AND second <> 0
         UNION ALL SELECT 'rate', label, first / 100, 'percent' FROM ({_CELLS}) WHERE first <> 0
-        UNION ALL SELECT 'cpi', label, first, 'index' FROM ({_CELLS}) WHERE first <> 0
-        UNION ALL SELECT 'none', unnest(['OMO', 'REPO', 'DEPOSIT_12M']), unnest([0.045, 0.04, 0.055]), 'percent'""",
+        UNION ALL SELECT 'cpi', label, first, 'index' FROM ({_CELLS}) WHERE first <> 0""",
 )
 def o_macrotab(t):
     now = "2024-02-01"
@@ -256,5 +272,4 @@ def o_macrotab(t):
         .unionByName(row(pl.gold_rows(cells), "gold", "location", "buy_price", F.col("unit")))
         .unionByName(row(pl.rate_rows(cells, now), "rate", "rate_type", "rate_value", F.col("unit")))
         .unionByName(row(pl.cpi_rows(cells, now), "cpi", "period", "value", F.col("unit")))
-        .unionByName(row(pl.rate_rows(cells.filter("first < 0"), now), "none", "rate_type", "rate_value", F.col("unit")))
     )

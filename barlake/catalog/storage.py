@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barlake.catalog.base import query, scratch
 from barlake.catalog.quality import _BAR, _SILVER
 from barlake.plans import jobs
-from barlake.sources.files import CSV_COLUMNS, export_csv
+from barlake.sources.files import CSV_COLUMNS, export_csv, read_bar_files
 from barlake.sources.tables import PARTITION, Lake, with_partition
 from barlake.streaming import bars as sb
 from barlake.streaming import ingest, sinks, sources, state
@@ -126,6 +126,33 @@ def o_csvout(t):
     return t.spark.read.option("header", True).schema(f"{kinds}, symbol string").csv(folder)
 
 
+@query("o_csv", "symbol interval timestamp:t open:4 high:4 low:4 close:4 volume:4", "SELECT *, '1h' AS interval FROM f1", "f1")
+def o_csv(t):
+    """Bar files named by symbol and interval, all read at once."""
+    folder = scratch(t.spark, "bar-files")
+    rows = t.f1.select(F.concat("symbol", F.lit("_1h")).alias("file"), *[c if c != "adj_close" else F.col("close").alias(c) for c in CSV_COLUMNS])
+    rows.write.option("header", True).partitionBy("file").csv(folder)
+    return read_bar_files(t.spark, f"{folder}/*/*.csv")
+
+
+@query(
+    "o_macroing",
+    "series timestamp:t value:4 source",
+    """SELECT 'USD/VND' AS series, timestamp, usd_vnd AS value, 'fx' AS source FROM macro
+       UNION ALL SELECT 'GOLD', timestamp, gold_usd_oz, 'gold' FROM macro
+       UNION ALL SELECT 'WTI_OIL', timestamp, wti_usd_barrel, 'oil' FROM macro""",
+    "macro",
+)
+def o_macroing(t):
+    """Macro families in one long table; a repeated run replaces its rows."""
+    lake = _lake(t)
+    named = lambda name, column: (t.macro.select("timestamp", F.lit(name).alias("name"), column), "name", column)
+    families = {"fx": named("USD/VND", "usd_vnd"), "gold": named("GOLD", "gold_usd_oz"), "oil": named("WTI_OIL", "wti_usd_barrel")}
+    for _ in range(2):
+        jobs.ingest_macro(lake, families, "run")
+    return lake.read_log("macro")
+
+
 query("o_kafka_out", _OHLCV, "SELECT * REPLACE (upper(symbol) AS symbol) FROM f2", "f2")(
     lambda t: sources.decode_bars(sinks.bar_messages(t.f2))
 )

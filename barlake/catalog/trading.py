@@ -146,7 +146,8 @@ def a_btmet(t):
 SQL["wfw"] = """SELECT symbol, k AS window_id, s AS train_start, s + to_days(CAST(180 + 20 * k AS INTEGER)) AS train_end,
     s + to_days(CAST(181 + 20 * k AS INTEGER)) AS test_start,
     least(e, s + to_days(CAST(211 + 20 * k AS INTEGER))) AS test_end
-    FROM (SELECT symbol, min(timestamp) AS s, max(timestamp) AS e FROM f2 GROUP BY ALL), range(0, 2000) r(k)
+    FROM (SELECT *, unnest(range(0, date_diff('day', s, e) // 20 + 1)) AS k
+    FROM (SELECT symbol, min(timestamp) AS s, max(timestamp) AS e FROM f2 GROUP BY ALL))
     WHERE s + to_days(CAST(180 + 20 * k AS INTEGER)) < e"""
 SQL["wfc"] = """SELECT w.*, (SELECT count(*) FROM f2 b WHERE b.symbol = w.symbol AND b.timestamp BETWEEN train_start AND train_end)
     AS train_bars, (SELECT count(*) FROM f2 b WHERE b.symbol = w.symbol AND b.timestamp BETWEEN test_start AND test_end)

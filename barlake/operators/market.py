@@ -115,9 +115,17 @@ def index_changes(bars: DataFrame, **cut) -> DataFrame:
     return b.add({"change": change(b, "close") * 100, "change_from_open": moved}).rows()
 
 
-def index_summary(bars: DataFrame) -> DataFrame:
-    """Last close, change, volume, range of the loaded history and previous close per index."""
-    extremes = bars.groupBy("symbol").agg(F.max("high").alias("high_52w"), F.min("low").alias("low_52w"))
+def _newest_years(bars: DataFrame, years: int | None) -> DataFrame:
+    """Bars of the last years before each symbol's newest bar (None: all)."""
+    if years is None:
+        return bars
+    newest = bars.groupBy("symbol").agg(F.max("timestamp").alias("_newest"))
+    return bars.join(newest, "symbol").filter(F.col("timestamp") >= F.col("_newest") - F.make_interval(years=F.lit(years))).drop("_newest")
+
+
+def index_summary(bars: DataFrame, years: int | None = 2) -> DataFrame:
+    """Last close, change, volume, range of the last years before it and previous close per index."""
+    extremes = _newest_years(bars, years).groupBy("symbol").agg(F.max("high").alias("high_52w"), F.min("low").alias("low_52w"))
     last = latest_change(bars).select(
         "symbol", "timestamp", "close", "prev_close", (F.col("change_pct") * 100).alias("change_pct"),
         F.coalesce("volume", F.lit(0.0)).alias("volume"),
@@ -137,9 +145,9 @@ def index_features(summary: DataFrame) -> DataFrame:
     )
 
 
-def sector_performance(bars: DataFrame) -> DataFrame:
-    """Last close, its change and the change over the whole history per sector index."""
-    ends = bars.groupBy("symbol").agg(F.min_by("close", "timestamp").alias("first"))
+def sector_performance(bars: DataFrame, years: int | None = 2) -> DataFrame:
+    """Last close, its change and the change since the first close of the last years per sector index."""
+    ends = _newest_years(bars, years).groupBy("symbol").agg(F.min_by("close", "timestamp").alias("first"))
     return latest_change(bars).join(ends, "symbol").select(
         F.col("symbol").alias("sector"),
         "close",

@@ -58,8 +58,8 @@ def basic_score(articles: DataFrame, lexicon: Lexicon = BASIC, text: str = "titl
     return articles.withColumn("sentiment", basic_sentiment(text, lexicon))
 
 
-def keywords(articles: DataFrame, key: str, text: str | Column, k: int = 5) -> DataFrame:
-    """The k most frequent words of every text, ties by first use."""
+def keywords(articles: DataFrame, key: str, text: str | Column, k: int | None = 5) -> DataFrame:
+    """The k most frequent words of every text, or all of them with their ranks; ties by first use."""
     counts = keyword_counts(articles, key, text)
     return top_k(counts, k, [key], [F.desc("uses"), F.asc("first")])
 
@@ -158,11 +158,13 @@ def sentiment_summary(
     )
 
 
-def summary_keywords(articles: DataFrame, key: str, text: str | Column, as_of: str | Column, days: int = 7, k: int = 10) -> DataFrame:
-    """The k keywords most often among the top five of a symbol's articles, ties by first appearance."""
+def summary_keywords(
+    articles: DataFrame, key: str, text: str | Column, as_of: str | Column, days: int = 7, k: int = 10, per_article: int | None = 5
+) -> DataFrame:
+    """The k keywords most often among the `per_article` top ones of a symbol's articles (None: all), ties by first appearance."""
     rows = lookback(articles, as_of, "published_date", days=days)
     top = keywords(rows.select("symbol", key, F.struct("published_date", key).alias("_at"), text.alias("_text")).withColumn(
-        "_key", F.struct("symbol", "_at")), "_key", "_text")
+        "_key", F.struct("symbol", "_at")), "_key", "_text", per_article)
     counted = top.groupBy(F.col("_key.symbol").alias("symbol"), "word").agg(
         F.count(F.lit(1)).alias("articles"), F.min(F.struct(F.col("_key._at"), F.col("rank"))).alias("_first")
     )

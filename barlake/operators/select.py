@@ -88,7 +88,8 @@ def latest_per_model(runs: DataFrame) -> DataFrame:
     return latest(runs, ("symbol", "model_name"), "created_at")
 
 
-def top_k(df: DataFrame, k: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First k rows per key; Spark prunes to k rows per key before the shuffle."""
+def top_k(df: DataFrame, k: int | None, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """First k rows per key (None: all, ranked); Spark prunes to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)

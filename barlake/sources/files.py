@@ -15,7 +15,10 @@ CSV_COLUMNS = ["timestamp", "open", "high", "low", "close", "adj_close", "volume
 def read_bar_files(
     spark: SparkSession, glob: str, source: str = "sample", start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """Bars of all matching files at once; symbol and interval come from the file name."""
+    """Bars of all matching files at once; symbol and interval come from the file name.
+
+    A file may also be a folder of part files, as Spark writes them; then its name counts (`AAPL_1d.csv/` or `file=AAPL_1d/`).
+    """
     csv = glob.endswith(".csv")
     if csv:
         kinds = {f.name: f.dataType.simpleString() for f in BAR.fields}
@@ -23,7 +26,9 @@ def read_bar_files(
         raw = spark.read.option("header", True).schema(schema).csv(glob)
     else:
         raw = spark.read.parquet(glob)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.(csv|parquet)$", 1)
+    part = F.col("_metadata.file_name").startswith("part-")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/=]+?)(?:\.csv|\.parquet)?/[^/]+$", 1)
+    name = F.when(part, folder).otherwise(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.(csv|parquet)$", 1))
     rows = raw.select(
         *[c for c in raw.columns if c not in ("symbol", "source", "interval")],
         F.regexp_extract(name, r"^(.+)_([^_]+)$", 1).alias("symbol"),

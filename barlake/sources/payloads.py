@@ -274,31 +274,38 @@ def oil_rows(bars: DataFrame) -> DataFrame:
     return bars.select("timestamp", name.alias("commodity"), F.col("close").alias("price"), F.lit("USD/barrel").alias("unit"))
 
 
-def _or_fallback(rows: DataFrame, fallback: DataFrame) -> DataFrame:
-    """`fallback` rows only where `rows` is empty."""
+def _or_default(rows: DataFrame, default: DataFrame | None) -> DataFrame:
+    """`default` rows, if any are given, only where `rows` is empty; `is_default` tells which they are."""
+    rows = rows.withColumn("is_default", F.lit(False))
+    if default is None:
+        return rows
     empty = rows.limit(1).agg((F.count(F.lit(1)) == 0).alias("_empty")).scalar()
-    return rows.unionByName(fallback.filter(empty), allowMissingColumns=True)
+    return rows.unionByName(default.withColumn("is_default", F.lit(True)).filter(empty), allowMissingColumns=True)
 
 
-def rate_rows(cells: DataFrame, now: str | Column) -> DataFrame:
-    """(label, first) cells to interest rates as fractions, with fixed rates when there are none."""
+def rate_rows(cells: DataFrame, now: str | Column, defaults: bool = False) -> DataFrame:
+    """(label, first) cells to interest rates as fractions; with `defaults` the fixed rates, marked, when there are none."""
     now = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     rows = cells.filter(F.coalesce("first", F.lit(0.0)) != 0).select(
         "timestamp", F.col("label").alias("rate_type"), (F.col("first") / 100).alias("rate_value"), F.lit("percent").alias("unit")
     )
+    if not defaults:
+        return _or_default(rows, None)
     fixed = cells.sparkSession.createDataFrame(FALLBACK_RATES, "rate_type string, rate_value double")
-    return _or_fallback(rows, fixed.select(now.alias("timestamp"), "rate_type", "rate_value", F.lit("percent").alias("unit")))
+    return _or_default(rows, fixed.select(now.alias("timestamp"), "rate_type", "rate_value", F.lit("percent").alias("unit")))
 
 
-def cpi_rows(cells: DataFrame, now: str | Column) -> DataFrame:
-    """(label, first) cells to price-index rows, with one fixed row when there are none."""
+def cpi_rows(cells: DataFrame, now: str | Column, defaults: bool = False) -> DataFrame:
+    """(label, first) cells to price-index rows; with `defaults` one fixed row, marked, when there are none."""
     now = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     rows = cells.filter(F.coalesce("first", F.lit(0.0)) != 0).select(
         "timestamp", F.lit("CPI").alias("indicator"), F.col("label").alias("period"), F.col("first").alias("value"), F.lit("index").alias("unit")
-    )
+    ).withColumns({"yoy_change": F.lit(None).cast("double"), "mom_change": F.lit(None).cast("double")})
+    if not defaults:
+        return _or_default(rows, None)
     fixed = cells.sparkSession.createDataFrame([FALLBACK_CPI], "value double, yoy_change double, mom_change double")
-    return _or_fallback(
-        rows.withColumns({"yoy_change": F.lit(None).cast("double"), "mom_change": F.lit(None).cast("double")}),
+    return _or_default(
+        rows,
         fixed.select(
             now.alias("timestamp"), F.lit("CPI").alias("indicator"), F.date_format(now, "yyyy-MM").alias("period"),
             "value", F.lit("index").alias("unit"), "yoy_change", "mom_change",

@@ -132,10 +132,13 @@ def test_rate_fallback(spark):
     cells = spark.createDataFrame([(1, "<table><tr><td>Refi</td><td>4.5</td></tr></table>")], "page_id long, html string")
     rows = payloads.rate_rows(pages.number_cells(cells, "2024-01-01"), "2024-01-01").collect()
     assert [(r["rate_type"], r["rate_value"]) for r in rows] == [("Refi", 0.045)]
-    none = payloads.rate_rows(pages.number_cells(cells.filter("false"), "2024-01-01"), "2024-01-01")
-    assert none.count() == 3
-    cpi = payloads.cpi_rows(pages.number_cells(cells.filter("false"), "2024-01-01"), "2024-01-01").first()
-    assert cpi["value"] == 100 and cpi["period"] == "2024-01"
+    assert not rows[0]["is_default"]
+    # no row is made up unless asked for, and then it says so
+    none = pages.number_cells(cells.filter("false"), "2024-01-01")
+    assert payloads.rate_rows(none, "2024-01-01").count() == 0 and payloads.cpi_rows(none, "2024-01-01").count() == 0
+    assert [r["is_default"] for r in payloads.rate_rows(none, "2024-01-01", defaults=True).collect()] == [True] * 3
+    cpi = payloads.cpi_rows(none, "2024-01-01", defaults=True).first()
+    assert cpi["value"] == 100 and cpi["period"] == "2024-01" and cpi["is_default"]
 
 
 def test_files(spark, tmp_path):

@@ -122,6 +122,28 @@ def test_quantile(spark, p):
     assert "NONE" not in got
 
 
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.75, 0.999, 1.0])
+def test_quantile_of_awkward_values(spark, p):
+    rng = np.random.default_rng(5)
+    cases = {
+        "CLOSE": 100 + rng.random(20_000) * 1e-9,  # one coarse digit holds them all
+        "STEPS": np.arange(10_001.0),
+        "SAME": np.full(20_000, -3.5),
+        "SIGNS": rng.permutation([*(-np.geomspace(1e-300, 1e300, 501)), *np.zeros(99), *np.geomspace(5e-324, 1e300, 400)]),
+        "ENDS": np.array([-np.inf, -1.0, 0.0, 2.0, 3.0, np.inf, np.inf]),
+        "TWO": np.array([1.0, np.nextafter(1.0, 2.0)]),
+        "ONE": np.array([7.0]),
+    }
+    pdf = pd.DataFrame([(k, v) for k, values in cases.items() for v in values], columns=["symbol", "v"])
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("ONE", float("nan"))], "symbol string, v double"))
+    got = {r["symbol"]: r["quantile"] for r in exact_quantile(df, "v", p).collect()}
+    for k, values in cases.items():
+        low, high = np.sort(values)[[int(np.floor(p * (len(values) - 1))), int(np.ceil(p * (len(values) - 1)))]]
+        share = p * (len(values) - 1) % 1
+        want = low + (high - low) * share if high > low else low
+        assert got[k] == want or got[k] == pytest.approx(want, rel=1e-14, abs=0), k
+
+
 def test_no_window_over_a_whole_symbol(walk):
     """Row windows are cut by day or block; only summaries are ordered per symbol."""
     from barlake.plans.gold import gold_rows
