@@ -259,9 +259,11 @@ _CELLS = """SELECT n_name || ' USD' AS label, CASE WHEN n_nationkey % 7 = 0 THEN
         NULL AS unit FROM ({_CELLS})
         UNION ALL SELECT 'gold', label, first, 'VND/luong' FROM ({_CELLS}) WHERE first <> 0 AND second <> 0
         UNION ALL SELECT 'rate', label, first / 100, 'percent' FROM ({_CELLS}) WHERE first <> 0
-        UNION ALL SELECT 'cpi', label, first, 'index' FROM ({_CELLS}) WHERE first <> 0""",
+        UNION ALL SELECT 'cpi', label, first, 'index' FROM ({_CELLS}) WHERE first <> 0
+        UNION ALL SELECT 'none', unnest(['OMO', 'REPO', 'DEPOSIT_12M']), unnest([0.045, 0.04, 0.055]), 'percent'""",
 )
 def o_macrotab(t):
+    """Typed rows of the macro tables; `none` are the default rates for cells without any number."""
     now = "2024-02-01"
     cells = pg.number_cells(_rate_pages(t), now)
     row = lambda df, family, name, value, unit: df.select(
@@ -272,4 +274,5 @@ def o_macrotab(t):
         .unionByName(row(pl.gold_rows(cells), "gold", "location", "buy_price", F.col("unit")))
         .unionByName(row(pl.rate_rows(cells, now), "rate", "rate_type", "rate_value", F.col("unit")))
         .unionByName(row(pl.cpi_rows(cells, now), "cpi", "period", "value", F.col("unit")))
+        .unionByName(row(pl.rate_rows(cells.filter("first IS NULL"), now, defaults=True), "none", "rate_type", "rate_value", F.col("unit")))
     )

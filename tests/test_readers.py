@@ -2,13 +2,16 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from barlake.functions import parse as ps
 from barlake.operators.market import flatten_book
 from barlake.sources import files, pages, payloads
 from tests.conftest import collect, make_bars
+from tools.check import rows_of
 
 
 def payload(spark, *docs):
@@ -141,6 +144,21 @@ def test_rate_fallback(spark):
     assert cpi["value"] == 100 and cpi["period"] == "2024-01" and cpi["is_default"]
 
 
+@pytest.mark.parametrize("keys", [range(9), [1, 2, 3], [0, 7], []])
+def test_macro_tables_have_default_rates(spark, tmp_path, keys):
+    # some, all or no cells with a number, and no cells: default rates come wherever no rate was read
+    nations = [(k, f"N{k}", k % 5) for k in keys]
+    spark.createDataFrame(nations, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW nation AS SELECT * FROM read_parquet('{tmp_path}/nation.parquet/*.parquet')")
+    df, rel = entry_module.queries()["o_macrotab"](spark, str(tmp_path)), con.sql(entry_module.oracle_sql()["o_macrotab"])
+    rows = df.collect()
+    none = {(r["name"], r["value"], r["unit"]) for r in rows if r["family"] == "none"}
+    assert none == {("OMO", 0.045, "percent"), ("REPO", 0.04, "percent"), ("DEPOSIT_12M", 0.055, "percent")}
+    assert sum(r["family"] == "rate" for r in rows) == sum(k % 7 != 0 for k in keys)
+    assert rows_of(df.columns, [tuple(r) for r in rows]) == rows_of(rel.columns, rel.fetchall())
+
+
 def test_files(spark, tmp_path):
     pdf = make_bars(30)
     pdf[files.CSV_COLUMNS].to_csv(tmp_path / "AAPL_1d.csv", index=False)
